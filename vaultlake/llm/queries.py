@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_quality, lsm_dedup, mixing, simhash
+from . import bpe, chat, license_scan, line_quality, lsm_dedup, mixing, secret_scan, sharding, simhash, url_filter
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -27,10 +27,30 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.segments(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
@@ -53,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op9_exact_dedup": lsm_dedup.ORACLE, "op10_quality_rules": line_quality.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op4_license_scan": license_scan.ORACLE, "op6_chat_format": chat.ORACLE, "op7_shard": sharding.ORACLE, "op9_exact_dedup": lsm_dedup.ORACLE, "op10_quality_rules": line_quality.ORACLE}
