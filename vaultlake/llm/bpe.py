@@ -127,15 +127,6 @@ class Encoder:
             else:
                 until_b, b = rank[b], left[b]
 
-    def _follows(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.may_follow(a, b)
-        return known
-
     def encode_bytes(self, piece: bytes) -> list[int]:
         n = len(piece)
         last, begin = [-1] * (n + 1), [0] * (n + 1)  # for each prefix its last token, and where that begins
