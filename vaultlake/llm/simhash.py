@@ -22,6 +22,8 @@ SHINGLE, DISTANCE, SEED, BYTES = 4, 4, 42, 8
 MIN_SHARED = BYTES - DISTANCE
 #: Lists up to this length are compared within one task; longer ones go by common midpoints instead.
 LIST = 4096
+#: A key that holds over 1 / HOT of all rows is joined by broadcast; there are fewer than HOT such keys.
+HOT = 1000
 
 
 def fingerprint(text: str | None) -> int:
@@ -190,14 +192,29 @@ def links(marks: DataFrame, limit: int = LIST) -> DataFrame:
     return edges.union(more.select("a", "b")).distinct()
 
 
+def _join_hot(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined on key with found (key, n, value), without n; found has one row for each key of rows, n its count there.
+
+    Keys with over 1 / HOT of the rows are fewer than HOT, so their part of found is broadcast and no task gets all
+    rows of one of them. The other keys go by a shuffle join.
+    """
+    is_hot = F.col("n") * HOT > total
+    value = next(c for c in found.columns if c not in (key, "n"))
+    hot = F.broadcast(found.where(is_hot).select(key, F.struct(value).alias("hot__")))
+    tagged = rows.join(hot, key, "left")
+    at_hot = tagged.where(F.col("hot__").isNotNull()).select(*rows.columns, F.col(f"hot__.{value}").alias(value))
+    others = tagged.where(F.col("hot__").isNull()).select(*rows.columns)
+    at_others = others.join(found.where(~is_hot).select(key, value), key).select(*rows.columns, value)
+    return at_hot.union(at_others)
+
+
 def groups(marks: DataFrame, first: Column) -> DataFrame:
-    """(fp, first): for each distinct fp of marks the least `first` over all rows whose fp is reachable from it."""
-    known = materialize(marks.groupBy("fp").agg(F.min(first).alias("first")))
-    parts = connected_components(links(known.select("fp")))
-    near = parts.join(known, parts["node"] == known["fp"])
-    least = near.groupBy("component").agg(F.min("first").alias("least"))
-    near = parts.join(least, "component").select(F.col("node").alias("fp"), "least")
-    return known.join(near, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    """(fp, n, first): for each distinct fp of marks its rows, and the least `first` over all rows whose fp is reachable."""
+    known = materialize(marks.groupBy("fp").agg(F.count("*").alias("n"), F.min(first).alias("first")))
+    parts = materialize(connected_components(links(known.select("fp"))).withColumnRenamed("node", "fp"))
+    least = parts.join(known.select("fp", "first"), "fp").groupBy("component").agg(F.count("*").alias("n"), F.min("first").alias("least"))
+    near = _join_hot(parts, materialize(least), "component", parts.count()).select("fp", "least")
+    return materialize(known.join(near, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("first")))
 
 
 def _order() -> Column:
@@ -213,7 +230,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     marks = materialize(fingerprints(docs.select("doc_id", "text")))
     found = groups(marks, _order())
-    out = marks.join(found, "fp")
+    out = _join_hot(marks, found, "fp", marks.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
@@ -223,6 +240,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     marks = materialize(fingerprints(docs.withColumns({"whole__": F.col("text"), "row__": F.monotonically_increasing_id()})))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("row__").alias("row"))
     found = groups(marks.select("doc_id", "fp", "row__"), order)
-    gone = materialize(marks.select("fp", "row__").join(found, "fp").where(F.col("row__") != F.col("first.row")).select("row__"))
+    gone = materialize(_join_hot(marks.select("fp", "row__"), found, "fp", marks.count()).where(F.col("row__") != F.col("first.row")).select("row__"))
     rows = marks.join(bounded_broadcast(gone, gone.count(), 32), "row__", "left_anti")
     return rows.select(*[F.col("whole__").alias("text") if c == "text" else F.col(c) for c in names])
