@@ -123,6 +123,20 @@ def test_simhash(docs):
     assert kept.columns == docs.columns and kept.count() == len({id(g) for g in group.values()})
 
 
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_hot_join_equals_a_join(spark, hot):
+    rows = [(i, i * i % 7 if i % 3 else 0) for i in range(60)] + [(60, None)]
+    n = {k: sum(1 for _, x in rows if x == k) for _, k in rows if k is not None}
+    found = spark.createDataFrame([(k, c, k + 10) for k, c in n.items()], "fp long, n long, first long")
+    given = spark.createDataFrame(rows, "id long, fp long")
+    simhash.HOT, before = hot, simhash.HOT
+    try:
+        got = sorted(tuple(r) for r in simhash._join_hot(given, found, "fp", len(rows)).collect())
+    finally:
+        simhash.HOT = before
+    assert got == sorted((i, k, k + 10) for i, k in rows if k is not None)
+
+
 @pytest.mark.parametrize("limit", [3, 4096])
 def test_links_lose_no_pair(spark, limit):
     rng, prints = random.Random(6), set()
