@@ -24,5 +24,5 @@ def test_query(spark, con, name):
     got = QUERIES[name](spark, SF)
     names = sorted(got.columns)
     key = lambda r: [(x is None, x) for x in r]
-    want = con.execute(f"SELECT {', '.join(names)} FROM ({ORACLES[name]}) q").fetchall()
+    want = con.execute(f"SELECT {', '.join(f'"{c}"' for c in names)} FROM ({ORACLES[name]}) q").fetchall()
     assert sorted((tuple(r) for r in got.select(*names).collect()), key=key) == sorted(map(tuple, want), key=key)
