@@ -47,20 +47,18 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        marks = np.array([fingerprint(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
-        rest = [batch.column(i) for i in range(batch.num_columns) if i != at]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(marks)], [*(n for n in batch.schema.names if n != "text"), "fp"])
+def fingerprints(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """docs and fp long (the fingerprint's bits), without text unless asked for. Every shingle of the whole text counts."""
+    small_batches(docs.sparkSession)
+    names = [c for c in docs.columns if c != "text" or keep_text]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(marks)], [*names, "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs without text, and fp long (the fingerprint's bits). Every shingle of the whole text counts."""
-    small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, "text").mapInArrow(_fingerprints, f"{schema}, fp long".lstrip(", "))
+    return docs.select(*names, *([] if keep_text else ["text"])).mapInArrow(run, f"{schema}, fp long".lstrip(", "))
 
 
 def index(marks: DataFrame) -> DataFrame:
@@ -237,9 +235,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs from each component: that with the smallest doc_id, exactly one where ids repeat."""
     names = docs.columns
-    marks = materialize(fingerprints(docs.withColumns({"whole__": F.col("text"), "row__": F.monotonically_increasing_id()})))
+    marks = materialize(fingerprints(docs.withColumn("row__", F.monotonically_increasing_id()), keep_text=True))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("row__").alias("row"))
     found = groups(marks.select("doc_id", "fp", "row__"), order)
     gone = materialize(_join_hot(marks.select("fp", "row__"), found, "fp", marks.count()).where(F.col("row__") != F.col("first.row")).select("row__"))
     rows = marks.join(bounded_broadcast(gone, gone.count(), 32), "row__", "left_anti")
-    return rows.select(*[F.col("whole__").alias("text") if c == "text" else F.col(c) for c in names])
+    return rows.select(*names)
