@@ -121,6 +121,8 @@ def test_simhash(docs):
     assert got == sorted(((i, f"{p:016x}", least(p)) for i, p in want), key=repr)
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns and kept.count() == len({id(g) for g in group.values()})
+    named = docs.withColumnsRenamed({"size": "fp", "row": "first", "digest": "component"})
+    assert simhash.keep_first(named).columns == named.columns and simhash.keep_first(named).count() == kept.count()
 
 
 @pytest.mark.parametrize("hot", [1, 4, 1000])

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bounded_broadcast, connected_components, materialize, small_batches
 
@@ -47,18 +48,18 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """docs and fp long (the fingerprint's bits), without text unless asked for. Every shingle of the whole text counts."""
+def fingerprints(docs: DataFrame, keep_text: bool = False, name: str = "fp") -> DataFrame:
+    """docs and `name` long (the fingerprint's bits), without text unless asked for. Every shingle of the whole text counts."""
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "text" or keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(marks)], [*names, "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(marks)], [*names, name])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, *([] if keep_text else ["text"])).mapInArrow(run, f"{schema}, fp long".lstrip(", "))
+    schema = StructType([*(docs.schema[c] for c in names), StructField(name, LongType())])
+    return docs.select(*names, *([] if keep_text else ["text"])).mapInArrow(run, schema)
 
 
 def index(marks: DataFrame) -> DataFrame:
@@ -235,9 +236,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs from each component: that with the smallest doc_id, exactly one where ids repeat."""
     names = docs.columns
-    marks = materialize(fingerprints(docs.withColumn("row__", F.monotonically_increasing_id()), keep_text=True))
+    marks = materialize(fingerprints(docs.withColumn("row__", F.monotonically_increasing_id()), True, "fp__"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("row__").alias("row"))
-    found = groups(marks.select("doc_id", "fp", "row__"), order)
-    gone = materialize(_join_hot(marks.select("fp", "row__"), found, "fp", marks.count()).where(F.col("row__") != F.col("first.row")).select("row__"))
+    own = marks.select("doc_id", F.col("fp__").alias("fp"), "row__")
+    found = groups(own, order)
+    gone = materialize(_join_hot(own.select("fp", "row__"), found, "fp", marks.count()).where(F.col("row__") != F.col("first.row")).select("row__"))
     rows = marks.join(bounded_broadcast(gone, gone.count(), 32), "row__", "left_anti")
     return rows.select(*names)
