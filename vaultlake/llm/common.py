@@ -18,6 +18,8 @@ SPACE = r"\x20\x09-\x0D"
 
 #: Tables of at most this many bytes (row count times row width) may be broadcast.
 BROADCAST_BYTES = 8 << 20
+#: An Arrow batch takes no further row beyond this many bytes.
+BATCH_BYTES = 2 << 20
 
 _own_dir: str | None = None
 
@@ -60,13 +62,16 @@ def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Before Arrow functions: bound what one batch of whole texts can hold in a worker, and send it this package."""
+def small_batches(spark: SparkSession, rows: int = 10_000) -> None:
+    """Before Arrow functions: bound what one batch of whole texts can hold in a worker, and send it this package.
+
+    A batch closes at `rows` rows or BATCH_BYTES, whichever comes first; a longer text has a batch of its own.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key, None) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
