@@ -276,3 +276,16 @@ def test_lines_above_the_limit_go(spark):
     kept = {r.doc_id: r.text for r in line_quality.keep_good(df).collect()}
     assert all("common" not in kept[i].lower() for i in range(30)) and not any(100 + i in kept for i in range(3))
     assert all(200 + i in kept for i in range(40))
+
+
+def test_lines_shared_together_are_each_counted(spark):
+    rng = random.Random(10)
+    own = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(15))
+    shared = lambda h: [f"navigation {h} {x}" for x in ("home", "news", "shop", "help", "terms")]
+    rows = [(100 * h + i, "\n".join([*shared("abcdef"[h]), own()]), f"s{h}") for h in range(6) for i in range(50)]
+    rows += [(1000 + i, "\n".join([*shared("z"), "a copied text of many more words than ten that is one document however often it recurs"]), "copies") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    often = {r.host: len(r.often) for r in line_quality.frequent_lines(df).collect()}
+    assert often == {f"ss{h}": 5 for h in range(6)}
+    kept = {r.doc_id: r.text for r in line_quality.keep_good(df).collect()}
+    assert all(kept[i] == t.split("\n")[5] for i, t, s in rows if s != "copies") and all(kept[i] == t for i, t, s in rows if s == "copies")

@@ -55,16 +55,14 @@ def line_keys(text: Column) -> Column:
 def frequent_lines(docs: DataFrame) -> DataFrame:
     """(host, often): the hashes of each host's lines above the limit; hosts without any are absent.
 
-    Documents that hold a line count once for each smallest hash among their other lines, so that copies of one
+    Documents that hold a line count once for each set of line hashes, told apart by its XXH64, so that copies of one
     document count once however many there are. The list of a host is bounded by the limit itself: each of its lines
     is in over LIMIT_PERCENT of the documents, so it has under 100 / LIMIT_PERCENT times a document's mean lines.
     """
     host = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     keys = F.sort_array(F.array_distinct(F.filter(line_keys(F.col("text")), lambda k: k.isNotNull())))
     rows = fence(docs.select(host.alias("host"), "text"), keys=keys)
-    first, second = F.get("keys", F.lit(0)), F.coalesce(F.get("keys", F.lit(1)), F.lit(-1).cast("long"))
-    lines = rows.select("host", first.alias("first"), second.alias("second"), F.explode("keys").alias("key"))
-    seen = lines.select("host", "key", F.when(F.col("key") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("other")).distinct()
+    seen = rows.select("host", F.xxhash64("keys").alias("set"), F.explode("keys").alias("key")).distinct()
     counts = seen.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > LIMIT_DOCS)
     sizes = docs.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("docs"))
     above = counts.join(sizes, "host").where(F.col("n") * 100 > F.col("docs") * LIMIT_PERCENT)
