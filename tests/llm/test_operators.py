@@ -289,3 +289,19 @@ def test_lines_shared_together_are_each_counted(spark):
     assert often == {f"ss{h}": 5 for h in range(6)}
     kept = {r.doc_id: r.text for r in line_quality.keep_good(df).collect()}
     assert all(kept[i] == t.split("\n")[5] for i, t, s in rows if s != "copies") and all(kept[i] == t for i, t, s in rows if s == "copies")
+
+
+@pytest.mark.parametrize(("text", "value"), [
+    ("AWS_SECRET_ACCESS_KEY=wJ$rXUt/K7MDENG!bPxRfi", "wJ$rXUt/K7MDENG!bPxRfi"), ("aws_secret_access_key = wJ$rXUt/K7MDENG!bPxRfi", "wJ$rXUt/K7MDENG!bPxRfi"),
+    ("SECRET_KEY='q8#vN2!mTz5$'", "q8#vN2!mTz5$"), ("DB_PWD=q8#vN2!mTz5$", "q8#vN2!mTz5$"), ("DB_PASSWORD=ab$cQ9x!Zr2", "ab$cQ9x!Zr2"), ("dbPassword := ab$cQ9x!Zr2", "ab$cQ9x!Zr2"),
+    ("Authorization: Bearer eyJhbGci.x9Kq_77-Zt", "eyJhbGci.x9Kq_77-Zt"), ('{"Authorization": "Basic dXNlcjp4OUtxNzc="}', "dXNlcjp4OUtxNzc="), ('passphrase: "correct horse battery staple"', "correct horse battery staple"),
+    ('pwd = "qzvxkwjfpgyt"', "qzvxkwjfpgyt"), ("pwd=qzvxkwjfpgyt", "qzvxkwjfpgyt"), ("pwd: qZvXkwJfPgyt", "qZvXkwJfPgyt"), ("pin: 8392017465829", "8392017465829"), ("password: token: q8#vN2!mTz5$", "q8#vN2!mTz5$"),
+])
+def test_secrets_in_names_headers_and_quotes(text, value):
+    at = text.index(value)
+    assert secret_scan.scan_text(text)[1] == [f"guess:{at}:{at + len(value)}"]
+
+
+@pytest.mark.parametrize("text", ["author: Jean-Luc9", "AUTHOR: Jean-Luc9", "pink: #ff00ff99a", "tokenizer=Xq9$kWz2!", "login: Tomorrow", 'pwd="password123"', "password is 'tis a long story that it's told in"])
+def test_what_is_no_secret(text):
+    assert secret_scan.scan_text(text)[1] == []

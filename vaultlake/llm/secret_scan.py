@@ -25,8 +25,18 @@ BASE = (
 )
 KINDS = (*(k for k, *_ in BASE), "guess")
 
-#: Words before a value that make it a credential; the value runs to white space or its closing quote.
-CONTEXT = r"(?i:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?|cred|login|pin|passkey))[\"']?\x20*(?:[:=]|=>|->|\x20is\x20)\x20*(?:\"([^\"\s]+)\"|'([^'\s]+)'|([^\s\"']+))"
+#: Words before a value that make it a credential, as a whole part of a name in snake_case, kebab-case or camelCase; the
+#: value runs to its closing quote, spaces included, or without quotes to white space. A scheme word is no part of it.
+#: A name goes on for at most 129 characters, so that time stays in proportion to the text.
+NAME = (
+    r"(?:(?<![^\W_])|(?<=[a-z0-9])(?=[A-Z]))(?i:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key"
+    r"|auth(?:orization)?|bearer|credentials?|cred|login|pin|passkey)(?:s|key|id)?)(?:(?:(?<=[a-z])(?=[A-Z])|[0-9_-])[\w-]{0,128}+)?"
+)
+SCHEME = r"(?i:(?:bearer|basic|digest|negotiate|token|api-?key)\x20+)?"
+CONTEXT = NAME + (
+    r"[\"']?\x20*(:=|=>|->|={1,3}|:|\x20is\x20)\x20*"
+    rf"(?:\"{SCHEME}((?:[^\"\\\n]|\\.)+)\"|'{SCHEME}((?:[^'\\\n]|\\.)+)'(?!\w)|[\"']?{SCHEME}([^\s\"']+))"
+)
 #: Values in the user part of an address.
 ADDRESS = r"(?i:[a-z][a-z0-9+.-]*)://[^\s/:@]+:([^\s/@]+)@"
 #: Guesses, as a power of ten, from which a value counts as a secret; such values have at least this length.
@@ -122,21 +132,26 @@ def guess_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int,
     """(start, end, cost) of values in a credential context that pass the limit and meet no span already taken."""
     found = []
     for pattern in (_CONTEXT, _ADDRESS):
-        for m in pattern.finditer(text):
+        m = pattern.search(text)
+        while m:
             a, b = m.span(m.lastindex)
+            to = a  # what is not reported may hold the next name
+            bare = pattern is _CONTEXT and m[4] is not None and not set(m[1]) & set("=>")
             while b > a and text[b - 1] in ".,;:!?)]}>":
                 b -= 1
-            if b - a >= LEAST and _mixed(text[a:b]) and not any(a < y and x < b for x, y in taken):
+            if b - a >= LEAST and not (bare and _prose(text[a:b])) and not any(a < y and x < b for x, y in taken):
                 cost = guess_cost(text[a:b])
                 if cost >= LIMIT:
                     found.append((a, b, cost))
                     taken = [*taken, (a, b)]
+                    to = m.end()
+            m = pattern.search(text, to)
     return sorted(found)
 
 
-def _mixed(value: str) -> bool:
-    """Of two kinds of character at least, one of them no letter: running prose is not taken for a value."""
-    return any(c.isdigit() for c in value) + any(c.isalpha() for c in value) + any(not c.isalnum() for c in value) >= 2 and not value.isalpha()
+def _prose(value: str) -> bool:
+    """A word of letters alone, in one case or with a capital: after a colon or "is", without quotes, that is running prose."""
+    return value.isalpha() and (value.isupper() or value[1:] == value[1:].lower())
 
 
 def scan_text(text: str) -> tuple[list[str], list[str], list[float]]:
