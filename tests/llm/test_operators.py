@@ -305,3 +305,25 @@ def test_secrets_in_names_headers_and_quotes(text, value):
 @pytest.mark.parametrize("text", ["author: Jean-Luc9", "AUTHOR: Jean-Luc9", "pink: #ff00ff99a", "tokenizer=Xq9$kWz2!", "login: Tomorrow", 'pwd="password123"', "password is 'tis a long story that it's told in"])
 def test_what_is_no_secret(text):
     assert secret_scan.scan_text(text)[1] == []
+
+
+def test_urls_in_large_and_deep_graphs(spark):
+    link = "concat('<a href=\"http://', {}, '/\">y</a>')"
+    many = spark.range(100_000).selectExpr("id AS page_id", "'http://evil.net/' AS url", "'' AS html")
+    fans = spark.range(20_000).selectExpr("1000000 + id AS page_id", "concat('http://fan', id, '.io/') AS url", f"{link.format("'x.example.com'")} AS html")
+    deep = spark.range(12).selectExpr("2000000 + id AS page_id", "concat('http://deep', id, '.io/') AS url", f"{link.format("if(id = 0, 'x.example.com', concat('deep', id - 1, '.io'))")} AS html")
+    one = spark.createDataFrame([(3000000, "http://x.example.com/de/", "")], "page_id long, url string, html string")
+    got = url_filter.judge(many.union(fans).union(deep).union(one)).where("page_id >= 1000000")
+    assert {(r.verdict, r.trust) for r in got.collect()} == {("block", 0.0)}
+    assert got.where("distrust <= 0").isEmpty()
+
+
+def test_ranks_converge(spark):
+    ways = [("a", "b", 1), ("b", "c", 2), ("c", "a", 1), ("b", "d", 1), ("d", "e", 3), ("e", "a", 1), ("e", "f", 1)]
+    got = url_filter.propagate(spark.createDataFrame(ways, "a string, b string, w long"), spark.createDataFrame([("a", 0.75), ("d", 0.25)], "host string, s double"), "rank")
+    at = {h: i for i, h in enumerate("abcdef")}
+    move, seed = np.zeros((6, 6)), np.array([0.75, 0, 0, 0.25, 0, 0])
+    for a, b, w in ways:
+        move[at[b], at[a]] = w / sum(x for y, _, x in ways if y == a)
+    want = np.linalg.solve(np.eye(6) - url_filter.DAMPING * move, seed)
+    assert {r.host: r.rank for r in got.collect()} == pytest.approx({h: want[i] / want.sum() for h, i in at.items()}, rel=1e-4)

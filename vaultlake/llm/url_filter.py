@@ -14,9 +14,12 @@ from .common import bounded_broadcast, materialize
 
 #: (verdict, host and path prefix). Fixed values of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DAMPING, ROUNDS = 0.85, 8
-#: A host without a rule is blocked where its distrust is above this many times its trust, and above the floor.
-RATIO, FLOOR = 1.0, 1e-9
+DAMPING = 0.85
+#: A flow ends when no rank above TINY grows by more than this share; every rank is then exact to this share times the
+#: mean length of the ways to it. TINY is where doubles lose digits, some 4000 links from the seeds.
+TOLERANCE, TINY = 1e-6, 1e-290
+#: A host without a rule is blocked where its distrust is above this many times its trust.
+RATIO = 1.0
 MAX_RULES = 256
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\s\"'>]+)"
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,21 +55,26 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.select("a", to.alias("b")).where("a <> '' AND b <> '' AND a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, name: str, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, name: str, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, name): personalised PageRank over edges (a, b, w) with restarts at seeds (host, s), whose s sum to 1.
 
-    Each round is an equi-join on the source and a grouped sum combined before its shuffle; what a host without links
-    holds returns to the seeds by way of normalisation at the end. The lineage is cut by a written table each round.
+    Each round adds what ways of one more link bring, so ranks only grow. It is an equi-join on the source and a
+    grouped sum combined before its shuffle; what a host without links holds returns to the seeds by way of
+    normalisation at the end. The lineage is cut by a written table each round. There are as many rounds as the longest
+    way has links, but where ways run in circles at most about log(tolerance) / log(DAMPING) rounds more.
     """
     out = edges.groupBy("a").agg(F.sum("w").alias("total"))
     moves = materialize(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")))
     seeds = materialize(seeds)
     if moves.isEmpty():
         return seeds.select("host", F.col("s").alias(name))
-    rank = seeds.select("host", F.col("s").alias("r"))
-    for _ in range(rounds):
-        flow = rank.join(moves, rank["host"] == moves["a"]).select(F.col("b").alias("host"), (F.col("r") * F.col("p") * DAMPING).alias("r"))
-        rank = materialize(flow.union(seeds.select("host", F.col("s") * (1 - DAMPING))).groupBy("host").agg(F.sum("r").alias("r")))
+    first = F.col("s") * (1 - DAMPING)
+    rank = seeds.select("host", first.alias("r"), first.alias("more"))
+    growing = (F.col("more") > tolerance * F.col("r")) & (F.col("r") > TINY)
+    while not rank.where(growing).isEmpty():
+        flow = rank.where("more > 0").join(moves, F.col("host") == F.col("a")).select(F.col("b").alias("host"), F.lit(0.0).alias("r"), (F.col("more") * F.col("p") * DAMPING).alias("more"))
+        both = flow.union(rank.select("host", "r", F.lit(0.0))).groupBy("host").agg(F.sum("r").alias("r"), F.sum("more").alias("more"))
+        rank = materialize(both.select("host", (F.col("r") + F.col("more")).alias("r"), "more"))
     total = rank.agg(F.sum("r")).first()[0] or 1.0
     return rank.select("host", (F.col("r") / total).alias(name))
 
@@ -91,5 +99,5 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     distrust = propagate(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"), seeds("bad", bad), "distrust")
     scores = materialize(ends.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"]))
     out = ruled.join(bounded_broadcast(scores, n_hosts, 4 * (width or 0) + 60), "host", "left").na.fill(0.0, ["trust", "distrust"])
-    own = F.when((F.col("distrust") > FLOOR) & (F.col("distrust") > RATIO * F.col("trust")), "block").otherwise("allow")
+    own = F.when(F.col("distrust") > RATIO * F.col("trust"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "trust", "distrust")
