@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -327,3 +328,13 @@ def test_ranks_converge(spark):
         move[at[b], at[a]] = w / sum(x for y, _, x in ways if y == a)
     want = np.linalg.solve(np.eye(6) - url_filter.DAMPING * move, seed)
     assert {r.host: r.rank for r in got.collect()} == pytest.approx({h: want[i] / want.sum() for h, i in at.items()}, rel=1e-4)
+
+
+def test_licenses_that_wrap(spark):
+    fill = lambda t, lead="": "\n".join(lead + x for x in textwrap.wrap(t, 78))
+    full, prose = license_scan.FULL_TEXTS, "Some words about nothing in particular that go on for a while.\n"
+    header = "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage main\n"
+    rows = [(k, fill(t)) for k, t in full.items()] + [("BSD-3-Clause", prose * 9 + "\n" + header + prose * 9), ("Apache-2.0-text", fill(license_scan.TEMPLATES["Apache-2.0-text"], "# ") + "\n#\n" + prose * 30)]
+    rows.append(("MIT-text", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + fill(full["MIT-full"].removeprefix("MIT License Copyright (c) "))))
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert [r.license for r in sorted(got, key=lambda r: r.doc_id)] == [k for k, _ in rows]

@@ -1,6 +1,6 @@
 """License scans by Dice coefficient over word bigrams. DataFrame operations only.
 
-Units of a text (the whole, its lines, and the sentences of each) are normalised and compared to license templates by
+Units of a text (the whole, its lines and paragraphs, and the sentences of both) are normalised and compared to license templates by
 the Dice coefficient of their bigram sets. A template is a candidate for a unit only if their sizes allow the limit.
 Before any unit is formed, texts without an anchor word are passed over: anchors are chosen so that a unit without any
 of them cannot share enough bigrams with any template.
@@ -45,6 +45,41 @@ TEMPLATES = {
     ),
 }
 
+#: Complete texts of the licenses that fit a screen, besides the notices; the SQL does not have them.
+WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+REDISTRIBUTION = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+FULL_TEXTS = {
+    "MIT-full": (
+        "MIT License Copyright (c) " + TEMPLATES["MIT-text"] + " The above copyright notice and this permission notice shall be included in all copies or "
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+        "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+        "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+        "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC-full": (
+        TEMPLATES["ISC-text"] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+        "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-Clause-full": REDISTRIBUTION + WARRANTY,
+    "BSD-3-Clause-full": (
+        REDISTRIBUTION + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission. " + WARRANTY
+    ),
+}
+
 
 def bigrams(text: str) -> list[str]:
     """The distinct word bigrams of a text after normalisation, as `_bigrams` forms them; one word stands for itself."""
@@ -89,20 +124,24 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, limit: float
 
     license is the template with the highest score at limit or above, of ties the first by name, null without any;
     score (double) is its Dice coefficient rounded to 6 places, unit the text that matched, the longest of ties and
-    of those the first in byte order. Normalised: A-Z lower-cased, words of letters, digits and inner points. Null
+    of those the first in byte order; in paragraphs line ends are spaces. Normalised: A-Z lower-cased, words of letters, digits and inner points. Null
     and empty texts have no license. Repeated rows are judged alike; empty input gives no rows.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES | FULL_TEXTS if templates is None else templates
     grams = {k: bigrams(t) for k, t in sorted(templates.items())}
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.when(text.rlike("(?i)" + "|".join(map(re.escape, anchors(templates, limit)))), text).alias("t__"))
     lines = F.split("t__", "\n", -1)
-    sentences = F.flatten(F.transform(F.col("lines__"), lambda x: F.split(x, f"(?<=[.!?:;])[{SPACE}]+", -1)))
-    rows = fence(rows, lines__=lines)
-    rows = fence(rows, units__=F.array_distinct(F.concat(F.array("t__"), F.col("lines__"), sentences))).drop("t__", "lines__")
+    # a line without a letter or digit, such as an empty comment line, ends a paragraph
+    paragraphs = F.transform(F.split("t__", r"\n(?:[^A-Za-z0-9\n]*\n)+", -1), lambda x: F.translate(x, "\n", " "))
+    sentences = lambda lines: F.flatten(F.transform(lines, lambda x: F.split(x, f"(?<=[.!?:;])[{SPACE}]+", -1)))
+    rows = fence(rows, lines__=lines, folded__=paragraphs)
+    within, across = F.concat(F.array("t__"), F.col("lines__"), sentences(F.col("lines__"))), F.concat("folded__", sentences(F.col("folded__")))
+    rows = fence(rows, within__=F.array_distinct(within), across__=F.array_distinct(across)).drop("t__", "lines__", "folded__")
+    rows = fence(rows, units__=F.array_union("within__", "across__"), n_within__=F.size("within__")).drop("within__", "across__")
     shape = lambda x: F.regexp_extract_all(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9.]*[a-z0-9]"), F.lit(0))
-    rows = fence(rows, parts__=F.transform("units__", lambda x: F.struct(x.alias("unit"), shape(x).alias("w")))).drop("units__")
-    rows = fence(rows, grams__=F.transform("parts__", lambda p: F.struct(p["unit"].alias("unit"), _bigrams(p["w"]).alias("g")))).drop("parts__")
+    rows = fence(rows, parts__=F.transform("units__", lambda x, i: F.struct(x.alias("unit"), (i >= F.col("n_within__")).alias("across"), shape(x).alias("w")))).drop("units__", "n_within__")
+    rows = fence(rows, grams__=F.transform("parts__", lambda p: F.struct(p["unit"].alias("unit"), p["across"].alias("across"), _bigrams(p["w"]).alias("g")))).drop("parts__")
 
     def scored(p: Column) -> Column:
         out = []
@@ -112,10 +151,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, limit: float
             allowed = (own >= F.lit(math.ceil(round(n * limit / (2 - limit), 9)))) & (own <= F.lit(math.floor(round(n * (2 - limit) / limit, 9))))
             out.append(F.struct(F.when(allowed, F.round(2.0 * shared / (own + n), 6)).otherwise(0.0).alias("score"), F.lit(name).alias("license")))
         best = F.array_sort(F.array(*out), lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0))
-        return F.struct(best[0]["score"].alias("score"), best[0]["license"].alias("license"), p["unit"].alias("unit"))
+        return F.struct(best[0]["score"].alias("score"), best[0]["license"].alias("license"), p["across"].alias("across"), p["unit"].alias("unit"))
 
     rows = fence(rows, found__=F.filter(F.transform("grams__", scored), lambda x: x["score"] >= limit)).drop("grams__")
-    rank = F.transform("found__", lambda x: F.struct((-x["score"]).alias("s"), x["license"].alias("l"), (-F.char_length(x["unit"])).alias("n"), x["unit"].alias("u")))
+    rank = F.transform("found__", lambda x: F.struct((-x["score"]).alias("s"), x["license"].alias("l"), x["across"].alias("a"), (-F.char_length(x["unit"])).alias("n"), x["unit"].alias("u")))
     rows = fence(rows, best__=F.array_min(rank))
     return rows.select("doc_id", F.col("best__.l").alias("license"), (-F.col("best__.s")).alias("score"), F.col("best__.u").alias("unit"))
 
