@@ -332,7 +332,7 @@ def test_ranks_converge(spark):
 
 def test_licenses_that_wrap(spark):
     fill = lambda t, lead="": "\n".join(lead + x for x in textwrap.wrap(t, 78))
-    full, prose = license_scan.FULL_TEXTS, "Some words about nothing in particular that go on for a while.\n"
+    full, prose = license_scan.FULL_TEXTS, " ".join(f"w{i}" for i in range(400)) + "\n"
     header = "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage main\n"
     rows = [(k, fill(t)) for k, t in full.items()] + [("BSD-3-Clause", prose * 9 + "\n" + header + prose * 9), ("Apache-2.0-text", fill(license_scan.TEMPLATES["Apache-2.0-text"], "# ") + "\n#\n" + prose * 30)]
     rows.append(("MIT-text", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + fill(full["MIT-full"].removeprefix("MIT License Copyright (c) "))))
