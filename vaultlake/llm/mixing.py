@@ -15,7 +15,8 @@ from .common import WORD, bounded_broadcast, materialize
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-_BITS, _DIGITS = 12, 5  # five digits of 12 bits in each of two 60-bit hashes
+_BITS, _DIGITS = 12, 5  # five digits of 12 bits in each of the 60-bit hashes
+_PARTS = ("h", "g", "r")  # of (doc_id, size), of the row's content, and of a row number that parts equal rows
 
 
 def hash60(value: Column) -> Column:
@@ -63,16 +64,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     threshold "all" while target >= i * source_size, and the last, partial pass takes the documents whose hash lies
     under its threshold; the document at the threshold is taken if that comes nearer to the target. So taken is size
     times the passes that reach the document, at most cap times its size. The hash is of (doc_id, size); rows alike
-    in both are told apart by a row number, which cannot change the rows returned. Null ids and sources are values
-    like others; empty input gives no rows.
+    in both are told apart by a digest of their text, and equal ones by a row number, which cannot change the rows
+    returned. Null ids and sources are values like others; whole texts of any length count; empty input gives no rows.
     """
-    return _passes(docs.select("doc_id", "text", "source"), [], weights, cap).select("doc_id", "size", "source_size", "target", "taken")
+    return _passes(docs.select("doc_id", "text", "source", F.xxhash64("text").alias("mark__")), [], weights, cap).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The mix itself: each row of docs as often as passes reach it, columns as given. Texts without words drop out."""
+    """The mix itself: each row of docs as often as passes reach it, columns as given. Texts without words drop out.
+
+    Rows are chosen by their content alone: reruns and other partitions of the input give the same rows, also where
+    doc_id is null or repeated.
+    """
     given = F.struct(*[F.col(c).alias(c) for c in docs.columns]).alias("given")
-    out = _passes(docs.select("doc_id", "text", "source", given), ["given"], weights, cap)
+    mark = F.xxhash64(*[F.col(c) for c in sorted(docs.columns)]).alias("mark__")
+    out = _passes(docs.select("doc_id", "text", "source", mark, given), ["given"], weights, cap)
     times = F.when(F.col("size") > 0, F.expr("int(taken div size)")).otherwise(0)
     rows = out.where("taken > 0").select("given", F.explode(F.sequence(F.lit(1), times)))
     return rows.select(*[F.col("given").getField(c).alias(c) for c in docs.columns])
@@ -81,45 +87,57 @@ def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
 def _passes(docs: DataFrame, more: list[str], weights: tuple[int, ...], cap: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    rows = docs.select("doc_id", "source", *more, size.alias("size"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select("doc_id", "source", "mark__", *more, size.alias("size"), F.monotonically_increasing_id().alias("row"))
     sized = materialize(
         rows.select(
             "doc_id", "source", "size", *more, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("k"),
             hash60(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("size"))).alias("h"),
-            hash60(F.concat(F.lit("row"), F.col("row"))).alias("g"),
+            hash60(F.concat(F.lit("mark"), F.col("mark__"))).alias("g"), hash60(F.concat(F.lit("row"), F.col("row"))).alias("r"),
         )
     )
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0)
     state = source_targets(sized, weights, cap).withColumn("full", full.cast("long"))
+    zero = F.lit(0).cast("long")
     state = state.withColumns({"rest": F.when(F.col("full") >= cap, 0.0).otherwise(F.col("target") - F.col("full") * F.col("source_size")),
-                               "at_h": F.lit(0).cast("long"), "at_g": F.lit(0).cast("long"), "edge": F.lit(0).cast("long")})
+                               **{f"at_{x}": zero for x in _PARTS}, "edge": zero})
     state = materialize(state.withColumn("open", F.col("rest") > 0))
     n_sources, width = state.agg(F.count("*"), F.coalesce(F.max(F.length("k")), F.lit(0))).first()
-    small = lambda df: bounded_broadcast(df, n_sources, 4 * width + 100)
+    small = lambda df: bounded_broadcast(df, n_sources, 4 * width + 110)
+    digits = [f"at_{x}" for x in _PARTS]
 
     def inside(level: int) -> Column:
         """The row's hashes begin with the digits found so far, level of them."""
-        h, g = min(level, _DIGITS) * _BITS, max(level - _DIGITS, 0) * _BITS
-        same = lambda x, at, n: F.shiftright(x, 60 - n) == F.shiftright(at, 60 - n) if n else F.lit(True)
-        return same(F.col("h"), F.col("at_h"), h) & same(F.col("g"), F.col("at_g"), g)
-
-    for level in range(2 * _DIGITS):
-        part, at = ("h", "at_h") if level < _DIGITS else ("g", "at_g")
+        out = F.lit(True)
+        for i, x in enumerate(_PARTS):
+            n = min(max(level - i * _DIGITS, 0), _DIGITS) * _BITS
+            if n:
+                out = out & (F.shiftright(x, 60 - n) == F.shiftright(f"at_{x}", 60 - n))
+        return out
+
+    near = sized.where("size > 0").join(small(state.where("open").select("k")), "k").select("k", "size", *_PARTS)
+    for level in range(len(_PARTS) * _DIGITS):
+        part = _PARTS[level // _DIGITS]
         shift = 60 - _BITS * (level % _DIGITS + 1)
         digit = F.shiftright(F.col(part), shift).bitwiseAND((1 << _BITS) - 1)
-        near = sized.where("size > 0").join(small(state.where("open").select("k", "at_h", "at_g")), "k").where(inside(level))
         histogram = near.groupBy("k", digit.alias("digit")).agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
         upto = F.sum("sum").over(Window.partitionBy("k").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
         edge = histogram.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("sum"))
         found = edge.join(small(state.select("k", "rest")), "k").where("before <= rest and rest < upto").select("k", "digit", "before", "sum", "n")
+        at = f"at_{part}"
         state = state.drop("n").join(small(found), "k", "left").withColumns({
-            at: F.col(at) + F.coalesce(F.shiftleft("digit", shift), F.lit(0).cast("long")),
+            at: F.col(at) + F.coalesce(F.shiftleft("digit", shift), zero),
             "rest": F.col("rest") - F.coalesce("before", F.lit(0)), "edge": F.coalesce("sum", "edge"),
-        }).select("k", "source", "source_size", "target", "full", "rest", "at_h", "at_g", "edge", "open", "n")
+        }).select("k", "source", "source_size", "target", "full", "rest", *digits, "edge", "open", "n")
         state = materialize(state)
         if (state.agg(F.max("n")).first()[0] or 0) <= 1:
             break
-    below = (F.col("h") < F.col("at_h")) | ((F.col("h") == F.col("at_h")) & (F.col("g") < F.col("at_g")))
+        # from here on only the rows of the boundary buckets are read, a small part of all
+        bounds = small(state.where("n > 0").select("k", *digits))
+        near = materialize(near.join(bounds, "k").where(inside(level + 1)).select("k", "size", *_PARTS))
+    below, same = F.lit(False), F.lit(True)
+    for x in _PARTS:
+        below = below | (same & (F.col(x) < F.col(f"at_{x}")))
+        same = same & (F.col(x) == F.col(f"at_{x}"))
     last = inside(level + 1) & (F.col("rest") * 2 >= F.col("edge"))
     extra = F.when((F.col("size") > 0) & F.col("n").isNotNull() & (below | last), 1).otherwise(0)
     out = sized.join(small(state.drop("source")), "k")
