@@ -28,7 +28,7 @@ def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
 
     n_bytes is the UTF-8 size of the text, 0 for a null one. shard is the hash prefix, depth bits long, of the
     shallowest bucket whose rows fit limit. A row over the limit cannot fit any shard: it has one of its own, named
-    "large:" and its id's hash, with depth null, and takes no part in splits. The hash is of (id, n_bytes); rows alike in
+    "large:" and its id's hash, with the row's own where rows are alike, with depth null, and takes no part in splits. The hash is of (id, n_bytes); rows alike in
     both, nulls among them, share 60 bits and then part by a row number, so that copies in any number split too.
     Empty input gives no rows.
     """
@@ -58,6 +58,8 @@ def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
         if not n_over:
             break
         open_ = open_.join(bounded_broadcast(over, n_over, 160), _prefix(high) == F.col("over"), "left_semi")
+    else:
+        raise ValueError(f"rows over the limit that {_ROUNDS * _BITS} bits do not part")
     directory = leaves[0]
     for leaf in leaves[1:]:
         directory = directory.unionByName(leaf)
@@ -68,8 +70,11 @@ def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
     if depths:
         tries = fits.select(id_col, "n_bytes", F.explode(F.array(*[_prefix(d) for d in depths])).alias("shard"))
         found = tries.join(bounded_broadcast(directory, n_leaves, 200), "shard").select(id_col, "n_bytes", "shard", "depth", F.col("bytes").alias("shard_bytes"))
-    large = rows.where(F.col("n_bytes") > limit).select(
-        id_col, "n_bytes", F.concat(F.lit("large:"), F.col("h").cast("string")).alias("shard"), F.lit(None).cast("int").alias("depth"), F.col("n_bytes").alias("shard_bytes")
+    large = rows.where(F.col("n_bytes") > limit)
+    shared = large.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("twin"))
+    own = F.concat(F.lit("large:"), F.col("h").cast("string"), F.when(F.col("twin").isNull(), "").otherwise(F.concat(F.lit(":"), F.col("g").cast("string"))))
+    large = large.join(shared, F.col("h") == F.col("twin"), "left").select(
+        id_col, "n_bytes", own.alias("shard"), F.lit(None).cast("int").alias("depth"), F.col("n_bytes").alias("shard_bytes")
     )
     return large if found is None else found.unionByName(large)
 
