@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,15 +48,51 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def materialize(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
+#: Tables written by `materialize` within the innermost `scope`.
+_scopes: list[list[str]] = []
+
+
+def _files(spark: SparkSession, path: str) -> tuple[object, object]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def materialize(df: DataFrame, options: dict[str, str] | None = None, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts the lineage.
 
-    The files outlive any executor, keep column pruning and give the planner true sizes.
+    The files outlive any executor, keep column pruning and give the planner true sizes. They go with the scope that is
+    open (unless keep is set), with `discard`, or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vaultlake/{uuid.uuid4().hex}"
     df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _files(spark, path)
+    fs.deleteOnExit(at)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `materialize` returned and that nothing will read again."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        fs, at = _files(df.sparkSession, path)
+        fs.delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialize` writes inside are deleted at the end; what is wanted must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            fs, at = _files(spark, path)
+            fs.delete(at, True)
 
 
 def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -65,12 +103,12 @@ def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 10_000) -> None:
     """Before Arrow functions: bound what one batch of whole texts can hold in a worker, and send it this package.
 
-    A batch closes at `rows` rows or BATCH_BYTES, whichever comes first; a longer text has a batch of its own.
+    A batch closes at `rows` rows or BATCH_BYTES, whichever comes first; a longer text has a batch of its own. What the
+    session has set itself stays.
     """
     ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(spark.conf.get(key, None) or 0)
-        if now <= 0 or now > most:
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, str(most))
 
 
@@ -94,6 +132,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(floor, "a")
-        now = materialize(
+        before, now = now, materialize(
             small.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).union(floor.select("a", F.col("m").alias("b"))).distinct()
         )
+        discard(before)

@@ -56,10 +56,18 @@ def op8_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs, repeated ones too. A null text is empty: no
+    tokens and an empty decoded text. Whole texts of any length are encoded; empty input gives no rows."""
     coded = bpe.encode(docs.select("doc_id", "text"), bpe_path(), decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def id_digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256) for each row of docs; a null text has no tokens."""
+    coded = bpe.encode(docs.select("doc_id", "text"), bpe_path())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup.dedup(table(spark, sf_dir, "documents"))
 

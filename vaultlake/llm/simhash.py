@@ -234,11 +234,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of docs from each component: that with the smallest doc_id, exactly one where ids repeat."""
+    """One row of docs from each component: that with the smallest doc_id, null last; where ids repeat, the one with
+    the smallest XXH64 of all columns, so that other partitions of the input keep the same row. Columns as given, of any
+    name; texts without words have the fingerprint zero; empty input gives no rows. Whole texts count."""
     names = docs.columns
-    marks = materialize(fingerprints(docs.withColumn("row__", F.monotonically_increasing_id()), True, "fp__"))
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("row__").alias("row"))
-    own = marks.select("doc_id", F.col("fp__").alias("fp"), "row__")
+    marked = docs.withColumns({"row__": F.monotonically_increasing_id(), "mark__": F.xxhash64(*[F.col(c) for c in sorted(names)])})
+    marks = materialize(fingerprints(marked, True, "fp__"))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("mark__").alias("mark"), F.col("row__").alias("row"))
+    own = marks.select("doc_id", F.col("fp__").alias("fp"), "row__", "mark__")
     found = groups(own, order)
     gone = materialize(_join_hot(own.select("fp", "row__"), found, "fp", marks.count()).where(F.col("row__") != F.col("first.row")).select("row__"))
     rows = marks.join(bounded_broadcast(gone, gone.count(), 32), "row__", "left_anti")
