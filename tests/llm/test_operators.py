@@ -330,11 +330,58 @@ def test_ranks_converge(spark):
     assert {r.host: r.rank for r in got.collect()} == pytest.approx({h: want[i] / want.sum() for h, i in at.items()}, rel=1e-4)
 
 
-def test_licenses_that_wrap(spark):
-    fill = lambda t, lead="": "\n".join(lead + x for x in textwrap.wrap(t, 78))
-    full, prose = license_scan.FULL_TEXTS, " ".join(f"w{i}" for i in range(400)) + "\n"
-    header = "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage main\n"
-    rows = [(k, fill(t)) for k, t in full.items()] + [("BSD-3-Clause", prose * 9 + "\n" + header + prose * 9), ("Apache-2.0-text", fill(license_scan.TEMPLATES["Apache-2.0-text"], "# ") + "\n#\n" + prose * 30)]
-    rows.append(("MIT-text", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + fill(full["MIT-full"].removeprefix("MIT License Copyright (c) "))))
+CODE = "\n".join(f"int f{i}(int a{i}) {{ return a{i} * {i}; }}" for i in range(60))
+
+
+@pytest.mark.parametrize("width", [40, 72])
+def test_licenses_that_wrap(spark, width):
+    given = license_scan.TEMPLATES | license_scan.FULL_TEXTS
+    rows = []
+    for mark in ("", "# ", "// ", " * "):
+        for k in ("MIT-text", "GPL-3.0", "GPL-3.0-notice", "BSD-3-Clause", "BSD-3-Clause-full", "Apache-2.0-full-notice"):
+            notice = "\n".join(mark + x for x in textwrap.wrap(given[k], width))
+            rows += [(k, f"{CODE}\n{notice}\n{CODE}"), (k, f"/*\n{notice}\n*/\n{CODE}"), (k, given[k])]
+    rows.append(("MIT-text", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + textwrap.fill(given["MIT-full"].removeprefix("MIT License Copyright (c) "), width)))
+    rows += [(None, CODE), (None, "was released under the public eye. MIT and the license of Apache 2.0 followed"), ("MIT", "Intro. Released under the MIT License.\n" * 200)]
     got = license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
     assert [r.license for r in sorted(got, key=lambda r: r.doc_id)] == [k for k, _ in rows]
+    assert all(r.score > 0.9 for r in got if r.license)
+
+
+def brute_license(text):
+    """Best (score, license, unit) over all runs of segments, by sets."""
+    given = license_scan.TEMPLATES | license_scan.FULL_TEXTS
+    parts = [y for x in (text or "").split("\n") for y in re.split(r"(?<=[.!?:;])[\x20\x09-\x0D]+", x)]
+    words = [license_scan.WORD.findall(x.translate(license_scan.LOWER)) for x in parts]
+    best, offsets = (0.0, None, None), np.cumsum([0, *map(len, words)]).tolist()
+    for name, t in sorted(given.items()):
+        own = set(license_scan.bigrams(t))
+        found = []
+        for i in range(len(parts)):
+            for j in range(i, len(parts)):
+                run = [w for x in words[i : j + 1] for w in x]
+                if words[i] and words[j] and len(run) <= license_scan.most_words(t):
+                    b = set(map(" ".join, zip(run, run[1:], strict=False)))
+                    if b:
+                        found.append((-round(2 * len(b & own) / (len(b) + len(own)), 6), sum(map(bool, words[i : j + 1])), offsets[i], " ".join(parts[i : j + 1])))
+        if found and -min(found)[0] >= license_scan.LIMIT and -min(found)[0] > best[0]:
+            best = (-min(found)[0], name, min(found)[3])
+    return best
+
+
+def test_license_equals_brute_force(spark):
+    rng, given = random.Random(21), license_scan.TEMPLATES | license_scan.FULL_TEXTS
+    texts = [None, "", "license", "MIT License", "."]
+    for _ in range(40):
+        t = given[rng.choice(sorted(given))].split()
+        for _ in range(rng.randint(0, 6)):
+            t[rng.randrange(len(t))] = rng.choice(["word.", "x", "License", "the:\n"])
+        lead = " ".join(rng.choice(["license", "under the", "software.", "a", "\n#", "b;"]) for _ in range(rng.randint(0, 12)))
+        texts.append(lead + "\n" + textwrap.fill(" ".join(t), rng.choice([30, 60, 400])) + rng.choice(["", "\n", " and more"]) + lead)
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in got.collect():
+        assert (r.score or 0.0, r.license, r.unit) == brute_license(texts[r.doc_id]), texts[r.doc_id]
+    clash = spark.createDataFrame([(1, given["MIT"], "s", 2.0, "u", 3)], "doc_id long, text string, license string, score double, t__ string, words__ long")
+    assert [r.license for r in license_scan.scan(clash).collect()] == ["MIT"]
+    long = spark.createDataFrame([(1, "plain words without end " * 100_000 + "\n" + given["MIT"])], "doc_id long, text string")
+    assert license_scan.scan(long).first().license == "MIT"
