@@ -182,20 +182,39 @@ def test_urls(spark):
 
 
 def test_chat(spark):
-    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "\\</turn>\n</turn>\n<turn:x>"), (1, 2, "user", None), (1, 3, "assistant", "### end\\"), (2, 0, "sys>\n", ""), (3, None, None, "b"), (3, None, None, "b"), (None, 0, "assistant", "🙂 ok")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.read_back(chat.segments(chat.with_probe(df))).collect()}
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "\\</turn>\n</turn>\n<turn:x>"), (1, 2, "user", None), (1, 3, "assistant", "### end\\"), (1, 4, "user", "\n</turn>\n"), (2, 0, "sys>\n", ""),
+             (3, None, None, "b"), (3, None, None, "b"), (4, 0, "assistant", ""), (4, 1, "assistant", "x" * 3_000_000), (None, 0, "assistant", "🙂 ok"), (None, 0, "user", "alone")]
+    df = spark.createDataFrame([(*t, 0, "x", 1) for t in turns], "conv_id long, turn long, role string, text string, example long, segment string, alone long").repartition(3)
+    convs = [[t for t in turns if t[0] == c] for c in (1, 2, 3, 4)] + [[t] for t in turns if t[0] is None]
+    expanded = chat.examples(df)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    for conv in (1, 2, 3, None):
-        own = sorted([t for t in turns if t[0] == conv], key=lambda t: (t[1] is None, t[1] or 0))
-        assert got[conv].n_turns == len(own) and got[conv].turns_sha256 == sha("".join(f"{r or ''}\n{x or ''}\n" for _, _, r, x in own))
-        loss = "".join(x or "" for _, _, r, x in own if r == "assistant")
-        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), sha(loss))
-    assert got[-7].loss_sha256 == sha(chat.PROBE)
-    full = chat.render(chat.segments(df)).where("conv_id = 1").orderBy("example").collect()
-    assert [chat.unescape(r.formatted[r.loss_start : r.loss_end]) for r in full] == [turns[1][3], turns[3][3]] and full[1].formatted.startswith(full[0].formatted)
-    assert sum(len(r.formatted) for r in full) == got[1].formatted_chars
-    assert chat.read_back(chat.segments(df.limit(0))).collect() == []
+    seg = lambda r, x: "<turn:" + re.sub(r"\\|<turn:|</turn>|### |>", r"\\\g<0>", r or "") + ">\n" + re.sub(r"\\|<turn:|</turn>|### ", r"\\\g<0>", x or "") + "\n</turn>\n"
+    want, rows = [], []
+    for own in convs:
+        full, targets = "", [i for i, t in enumerate(own) if t[2] == "assistant"]
+        parts = [seg(r, x) for _, _, r, x in own]
+        for n, i in enumerate(targets):
+            full = "".join(parts[: i + 1])
+            rows.append((own[0][0], n + 1, full, own[i][3] or ""))
+        rest = "".join(parts[targets[-1] + 1 if targets else 0 :])
+        rows += [(own[0][0], None, rest, None)] if rest else []
+        loss = "".join(own[i][3] or "" for i in targets)
+        want.append((own[0][0], len(own), sha("".join(f"{r or ''}\n{x or ''}\n" for _, _, r, x in own)), len(loss), sha(loss), sum(len("".join(parts[: i + 1])) for i in targets) + len(rest)))
+    got = [(r.conv_id, r.example, r.formatted, None if r.loss_start is None else chat.unescape(r.formatted[r.loss_start : r.loss_end])) for r in expanded.collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+    for r in expanded.where("example IS NOT NULL").collect():  # nothing but the reply lies under the mask
+        assert r.formatted[: r.loss_start].endswith("<turn:assistant>\n") and r.formatted[r.loss_end :] == chat.CLOSE
+    for back in (chat.read_back(expanded, ordered=True), chat.read_back(expanded.repartition(5))):
+        assert sorted(map(tuple, back.collect()), key=repr) == sorted(want, key=repr)
+    assert chat.examples(df.limit(0)).collect() == [] and chat.read_back(chat.examples(df.limit(0))).collect() == []
+    probe = chat.read_back(chat.examples(chat.with_probe(df))).where("conv_id = -7").first()
+    assert probe.loss_sha256 == sha(chat.PROBE) and probe.n_turns == 2
+
+
+def test_chat_finds_a_wrong_mask(spark):
+    good = chat.examples(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string"))
+    with pytest.raises(Exception, match="trainable"):
+        chat.read_back(good.withColumn("loss_start", F.col("loss_start") - 1)).collect()
 
 
 def test_shards_fit(spark, docs):

@@ -44,7 +44,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.read_back(chat.segments(chat.with_probe(table(spark, sf_dir, "conversations"))))
+    return chat.read_back(chat.examples(chat.with_probe(table(spark, sf_dir, "conversations"))), ordered=True)
 
 
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
