@@ -1,10 +1,12 @@
 """Each operator against brute force on a small table with nulls, ties, repeated rows, odd texts and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import struct
 import textwrap
+import time
 from collections import Counter
 
 import numpy as np
@@ -37,7 +39,7 @@ def docs(spark):
 
 
 OPERATORS = {
-    "mix": mixing.mix, "secrets": lambda d: secret_scan.scan(d.select("doc_id", "text")), "simhash": simhash.near_groups, "license": license_scan.scan, "shard": sharding.shard,
+    "mix": mixing.mix, "secrets": secret_scan.scan, "simhash": simhash.near_groups, "license": license_scan.scan, "shard": sharding.shard,
     "bpe": queries.token_digests, "dedup": lsm_dedup.dedup, "quality": line_quality.quality,
 }
 
@@ -84,10 +86,13 @@ def brute_spans(text):
 
 
 def test_secrets(docs):
-    for r, text in [(r, x.text or "") for x in docs.collect() for r in secret_scan.scan(docs.where(F.col("doc_id").eqNullSafe(x.doc_id)).select("doc_id", "text").limit(1)).collect()][:16]:
-        base = brute_spans(text)
-        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
-        assert set(base) <= set(filter(None, r.spans.split(",")))
+    got = secret_scan.scan(docs.withColumnsRenamed({"lang": "spans", "size": "n_hex", "row": "most_guesses"}), queries.bpe_path())
+    assert [c for c in got.columns if c in secret_scan.COLUMNS] == list(secret_scan.COLUMNS) and len(set(got.columns)) == len(got.columns)
+    sha = lambda t: hashlib.sha256(",".join(brute_spans(t or "")).encode()).hexdigest()
+    assert Counter((r.doc_id, r.base_sha256) for r in got.collect()) == Counter((r[0], sha(r[1])) for r in table())
+    for _, text, *_ in table():
+        base, spans, costs = secret_scan.scan_text(text or "")
+        assert set(base) <= set(spans) and len(costs) == len(spans)
     base, spans, _ = secret_scan.scan_text("password: p@ss!W0rd#99x and db://user:Zk9$qLw2!x@host")
     assert base == [] and [s.split(":")[0] for s in spans] == ["guess", "guess"]
     assert secret_scan.scan_text("The password is please use your own words. login: tomorrow") == ([], [], [])
@@ -96,6 +101,65 @@ def test_secrets(docs):
     assert secret_scan.guess_cost("1999-12-31") < 6
 
 
+def brute_cost(v, words):
+    """The cheapest segmentation over all pieces of all lengths, from the definition of each kind of piece."""
+    low = v.lower()
+    plain = low.translate(str.maketrans("013457@$!", "oleastasi"))
+    space = lambda c: math.log10(10 if c.isdigit() else 100 if ord(c) > 127 else 26 if c.isalpha() else 33)
+
+    def piece(i, j):
+        x, n, ways = v[i:j], j - i, [math.inf]
+        if n == 1:
+            ways.append(space(x))
+        case = 0.0 if x == low[i:j] else 0.5
+        if 3 <= n <= 14:
+            ways += [words.get(low[i:j], math.inf) + case, words.get(plain[i:j], math.inf) + case + 0.6]
+        y, m, d, s = r"(19|20)\d\d", "(0[1-9]|1[0-2])", r"(0[1-9]|[12]\d|3[01])", "[-/.]?"
+        if any(re.fullmatch(p, x) for p in (y, y + s + m, y + s + m + s + d, d + s + m + s + y)):
+            ways.append(math.log10(365 * 120))
+        if 3 <= n <= 64 and len(set(x)) == 1:
+            ways.append(space(x[0]) + math.log10(n))
+        if 3 <= n <= 32 and all(low[k : k + 2] in secret_scan.WALKS for k in range(i, j - 1)):
+            ways.append(math.log10(len(secret_scan.WALKS)) + math.log10(n))
+        if n in (2, 3, 4) and i >= n and v[i - n : i] == x:
+            ways.append(math.log10(2))
+        return min(ways)
+
+    best = [0.0]
+    for j in range(1, len(v) + 1):
+        best.append(min(best[i] + piece(i, j) for i in range(j)))
+    return min(best[-1], 30.0)
+
+
+def test_guess_cost_is_the_minimum():
+    rng, words = random.Random(17), secret_scan.dictionary(queries.bpe_path())
+    assert len(words) > 5000
+    parts = ["2001-12-31", "31.12.1999", "201", "1999", "qwerty", "asd", "ddd", "aaaa", "Pass", "p4ssw0rd", "dragon", "ab", "abab", "x", "9", "$", "Z", "k3", "horse", "é"]
+    for _ in range(2000):
+        v = "".join(rng.choice(parts) for _ in range(rng.randint(1, 6)))[: rng.randint(1, 14)]
+        cost = secret_scan.guess_cost(v, words)
+        assert cost == pytest.approx(brute_cost(v, words), abs=1e-9), v
+        cut = rng.randrange(len(v) + 1)
+        assert cost <= secret_scan.guess_cost(v[:cut], words) + secret_scan.guess_cost(v[cut:], words) + 1e-9
+    assert secret_scan.guess_cost("2001-12-31qwerty") < 8
+    for v in ("a" * 500, "qwerty" * 90, "0123456789abcdef" * 70_000):
+        assert secret_scan.guess_cost(v, words) == 30.0 or len(v) < 1000 and secret_scan.guess_cost(v, words) == pytest.approx(brute_cost(v, words))
+
+
+def test_secret_scan_takes_time_in_proportion():
+    def seconds(n):
+        rng = random.Random(1)
+        text = " ".join(f"password: x{rng.randrange(10**9)}Q!{rng.randrange(10**9)} token=token=token=abc" for _ in range(n))
+        began = time.process_time()
+        secret_scan.scan_text(text)
+        return time.process_time() - began, len(text)
+
+    seconds(300)
+    (one, n), (two, m) = (min(seconds(k) for _ in range(3)) for k in (3000, 6000))
+    assert n > 150_000 and two < 2.2 * one + 0.1
+    assert secret_scan.scan_text("password=" * 60_000 + " token: " + "k" * 300_000)[0]
+
+
 def brute_print(text):
     words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in WORD.findall(text or "")]
     grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
