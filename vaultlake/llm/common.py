@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,6 +100,14 @@ def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def shielded(docs: DataFrame, needed: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs), which keeps the columns, while those not needed go by names that no operator uses."""
+    names = docs.columns
+    own = [c if c in needed else f"given_{i}" for i, c in enumerate(names)]
+    out = work(docs.toDF(*own))
+    return out.select(*[F.col(o).alias(n) for o, n in zip(own, names, strict=True)])
+
+
 def small_batches(spark: SparkSession, rows: int = 10_000) -> None:
     """Before Arrow functions: bound what one batch of whole texts can hold in a worker, and send it this package.
 

@@ -1,20 +1,25 @@
 """Exact dedup by a log-structured merge index of text digests. DataFrame operations only.
 
-Each scan task is a memtable: it sorts its (digest, id) rows and flushes them as a run, a Parquet file with min/max
-statistics and a Bloom filter on the digest. Compaction merges runs into one entry a digest with the identifier that
-stays. Digests that occur more than once are hits, and their texts are compared byte for byte.
+Rows go to memtables, each of which is flushed as a run: one entry a digest, sorted, with the number of rows and the
+identifier that stays, and a filter, a bitmap of the digests' hashes. Two runs of a level are compacted into one of the
+next: the filter of one is asked for the digests of the other, only entries that may stand in both are shuffled and
+merged, and the rest is passed on. Digests that occur more than once are hits, and their texts are compared byte for byte.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialize
+from .common import bounded_broadcast, discard, materialize, shielded
 
-RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"}
+#: Into how many memtables a table is dealt, and how many runs of a level are compacted into one.
+MEMTABLES, FANOUT = 4, 2
+#: Bits of a filter for each row of the table, and what one bucket of a bitmap holds.
+BITS_A_ROW, BUCKET = 16, 1 << 15
 
 
 def sha256(text: Column) -> Column:
@@ -25,28 +30,125 @@ def body(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def flush(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Runs of (digest, sha, doc_id, row), each task's part sorted by digest. row tells equal rows apart."""
-    rows = docs.select(digest(body()).alias("digest"), sha256(body()).alias("sha"), "doc_id", F.monotonically_increasing_id().alias("row"))
-    return materialize(rows.sortWithinPartitions("digest"), RUN_OPTIONS)
+@dataclass
+class Run:
+    """entries (digest, n, doc_id, row), sorted by digest in each file: its rows and the one that stays; bits
+    (bucket, bits): the filter; size: how many entries."""
 
+    entries: DataFrame
+    bits: DataFrame
+    size: int
 
-def compact(runs: DataFrame, keep: str = "max") -> DataFrame:
-    """(digest, n, kept) for digests held by more than one row; kept is the (doc_id, row) that stays.
 
-    The grouped minimum or maximum is combined in each task before the shuffle, so a digest that a third of all rows
-    share moves one row a task. Null ids lose against any other.
-    """
-    return runs.groupBy("digest").agg(F.count("*").alias("n"), _winner(keep, "doc_id", "row").alias("kept")).where("n > 1")
+class Index:
+    """Levels of runs. keep: whether the largest ("max") or smallest ("min") doc_id of a digest stays; null ids lose.
 
+    capacity is the number of rows for which the filters are made; with more rows they let more entries through to the
+    merge, and results stay the same. reads counts how many runs had entries read for a lookup or a merge.
+    """
 
-def _winner(keep: str, *columns: str) -> Column:
-    first, *rest = columns
-    if keep == "max":
-        return F.max(F.struct(F.col(first).isNotNull().alias("known"), *columns))
-    if keep == "min":
-        return F.min(F.struct(F.col(first).isNull().alias("unknown"), *columns))
-    raise ValueError("keep is min or max")
+    def __init__(self, capacity: int, keep: str = "max") -> None:
+        if keep not in ("max", "min"):
+            raise ValueError("keep is min or max")
+        self.cells = BUCKET
+        while self.cells < capacity * BITS_A_ROW:
+            self.cells *= 2
+        self.keep, self.levels, self.reads = keep, [[]], 0
+
+    def _winner(self, n: Column) -> list[Column]:
+        """n, doc_id and row of the entry that stays, over fixed-width buffers, so that hashing does."""
+        best, by = (F.max, F.max_by) if self.keep == "max" else (F.min, F.min_by)
+        return [n.alias("n"), best("doc_id").alias("doc_id"), F.coalesce(by("row", "doc_id"), best("row")).alias("row")]
+
+    def _cell(self) -> Column:
+        return F.xxhash64("digest").bitwiseAND(self.cells - 1) + 1
+
+    def _filter(self, entries: DataFrame) -> DataFrame:
+        cell = self._cell()
+        return materialize(entries.select(F.bitmap_bucket_number(cell).alias("bucket"), F.bitmap_bit_position(cell).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")))
+
+    def _maybe(self, digests: DataFrame, run: Run) -> DataFrame:
+        """Those of digests whose bit is set in the run's filter; all that the run holds are among them."""
+        cell = self._cell()
+        asked = digests.select("digest", F.bitmap_bucket_number(cell).alias("bucket"), F.bitmap_bit_position(cell).alias("at"))
+        byte = F.conv(F.hex(F.substring("bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+        some = bounded_broadcast(run.bits, self.cells // BUCKET, BUCKET // 8 + 32)
+        set_ = F.expr("shiftright(byte, cast(at % 8 as int)) & 1") == 1
+        return asked.join(some, "bucket").withColumn("byte", byte).where(set_).select("digest")
+
+    def add(self, rows: DataFrame) -> None:
+        """Flush a memtable of rows (digest, doc_id, row) as a run of the first level, and compact levels that are full.
+
+        The grouped maxima are combined in each task before the shuffle, so a digest that a third of all rows share
+        moves one row a task.
+        """
+        entries = materialize(rows.groupBy("digest").agg(*self._winner(F.count("*"))).sortWithinPartitions("digest"))
+        self._push(Run(entries, self._filter(entries), entries.count()), 0)
+
+    def _push(self, run: Run, level: int) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) == FANOUT:
+            first, *others = self.levels[level]
+            self.levels[level] = []
+            for other in others:
+                first = self._compact(first, other)
+            self._push(first, level + 1)
+
+    def _compact(self, a: Run, b: Run) -> Run:
+        small, large = sorted((a, b), key=lambda r: r.size)
+        maybe = materialize(self._maybe(small.entries, large))
+        n = maybe.count()
+        both = small.entries.select("digest", "n", "doc_id", "row").union(large.entries.select("digest", "n", "doc_id", "row"))
+        size = small.size + large.size
+        if n:
+            self.reads += 2
+            asked = bounded_broadcast(maybe, n, 64)
+            merged = both.join(asked, "digest", "left_semi").groupBy("digest").agg(*self._winner(F.sum("n")))
+            both = both.join(asked, "digest", "left_anti").union(merged.select("digest", "n", "doc_id", "row"))
+        entries = materialize(both.sortWithinPartitions("digest"))
+        bits = materialize(small.bits.union(large.bits).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+        for old in (maybe, a.entries, b.entries, a.bits, b.bits):
+            discard(old)
+        return Run(entries, bits, size)
+
+    def lookup(self, digests: DataFrame) -> DataFrame:
+        """(digest, n, doc_id, row) of those digests that the index holds, merged over its runs. digests (digest) are
+        distinct. A run whose filter has none of them is not read."""
+        out = None
+        for run in (r for level in self.levels for r in level):
+            maybe = materialize(self._maybe(digests, run))
+            n = maybe.count()
+            if n:
+                self.reads += 1
+                found = run.entries.join(bounded_broadcast(maybe, n, 64), "digest", "left_semi").select("digest", "n", "doc_id", "row")
+                out = found if out is None else out.union(found)
+        if out is None:
+            return digests.limit(0).selectExpr("digest", "0L AS n", "0L AS doc_id", "0L AS row")
+        return out.groupBy("digest").agg(*self._winner(F.sum("n"))).select("digest", "n", "doc_id", "row")
+
+    def whole(self, digests_like: DataFrame) -> DataFrame:
+        """(digest, n, doc_id, row) of all digests, after compacting what runs there are into one."""
+        runs = [r for level in self.levels for r in level]
+        if not runs:
+            return digests_like.limit(0).selectExpr("digest", "0L AS n", "doc_id", "0L AS row")
+        first, *others = sorted(runs, key=lambda r: r.size)
+        for other in others:
+            first = self._compact(first, other)
+        self.levels = [*([] for _ in self.levels), [first]]
+        return first.entries.select("digest", "n", "doc_id", "row")
+
+
+def index_rows(docs: DataFrame, keep: str = "max", digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
+    """(rows, hits): (digest, sha, doc_id, row) of all docs, where row tells equal rows apart, and the index's entries
+    (digest, n, doc_id, row) for digests held by more than one row."""
+    rows = docs.select(digest(body()).alias("digest"), sha256(body()).alias("sha"), "doc_id", F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows)
+    index = Index(rows.count(), keep)
+    for k in range(MEMTABLES):
+        index.add(rows.where(F.col("row") % MEMTABLES == k))
+    return rows, materialize(index.whole(rows).where("n > 1"))
 
 
 def rows_of_hits(docs: DataFrame, hits: DataFrame, n_hits: int, digest: Callable[[Column], Column]) -> DataFrame:
@@ -58,56 +160,64 @@ def rows_of_hits(docs: DataFrame, hits: DataFrame, n_hits: int, digest: Callable
 def dedup(docs: DataFrame, keep: str = "max", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of docs (doc_id, text; others ignored).
 
-    Texts are equal when byte for byte identical; a null text counts as empty. Of equal texts one row is kept: that
-    with the largest doc_id (keep="max") or the smallest. Among repeated rows with this id exactly one has kept true.
-    A null id is kept only where all of its group are null. Empty input gives no rows.
+    Texts are equal when byte for byte identical; a null text counts as empty; texts of any length are compared whole.
+    Of equal texts one row is kept: that with the largest doc_id (keep="max") or the smallest. Among repeated rows with
+    this id exactly one has kept true. A null id is kept only where all of its group are null. Empty input gives no rows.
 
     The text column goes through hash aggregation only for hits, one text a task and group. Should different texts
     share a digest (with SHA-256 they do not), their groups are formed by the texts themselves.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    runs = flush(docs, digest)
-    hits = materialize(compact(runs, keep).orderBy("digest"), RUN_OPTIONS)
+    rows, hits = index_rows(docs, keep, digest)
     n_hits = hits.count()
     if not n_hits:
-        return runs.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     texts = rows_of_hits(docs, hits, n_hits, digest).groupBy("digest", body().alias("body")).agg(F.count("*").alias("n"))
     clashes = texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
     clashes = materialize(clashes.select("digest"))
     n_clashes = clashes.count()
-    out = runs.join(bounded_broadcast(hits, n_hits, 96), "digest", "left")
+    won = hits.select("digest", "n", F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row"))
+    out = rows.join(bounded_broadcast(won, n_hits, 96), "digest", "left")
     if n_clashes:
         out = out.join(bounded_broadcast(clashes, n_clashes, 64), "digest", "left_anti")
-    kept = F.col("kept.row").isNull() | (F.col("kept.row") == F.col("row"))
+    alone = F.col("kept_row").isNull()
     out = out.select(
-        "doc_id", F.when(F.col("kept.row").isNull(), F.col("doc_id")).otherwise(F.col("kept.doc_id")).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("kept_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("kept_row") == F.col("row"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
     )
     if not n_clashes:
         return out
     own = rows_of_hits(docs, clashes, n_clashes, digest).select("digest", body().alias("body"), "doc_id", F.monotonically_increasing_id().alias("row"))
     own = materialize(own)
-    classes = own.groupBy("digest", "body").agg(F.count("*").alias("n"), _winner(keep, "doc_id", "row").alias("kept"))
+    classes = own.groupBy("digest", "body").agg(*Index(1, keep)._winner(F.count("*"))).withColumnsRenamed({"doc_id": "kept_id", "row": "kept_row"})
     own = own.join(classes, ["digest", "body"])
-    return out.union(own.select("doc_id", F.col("kept.doc_id"), F.col("n"), F.col("kept.row") == F.col("row"), F.sha2("body", 256)))
+    return out.union(own.select("doc_id", "kept_id", "n", F.col("kept_row") == F.col("row"), F.sha2("body", 256)))
 
 
 def drop_copies(docs: DataFrame, keep: str = "max", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """The rows of docs, one of each group of equal texts, as `dedup` chooses it; columns as given.
+    """The rows of docs, one of each group of equal texts, as `dedup` chooses it; columns as given, of any name.
 
-    Rows with a digest of their own pass through; the others are grouped by digest and text, which verifies bytes.
+    Rows with a digest of their own pass through; the others are grouped by digest and text, which verifies bytes. Null
+    texts are empty; a null doc_id stays only where all of a group are null; of rows with the same doc_id the largest (or
+    smallest) by the other columns stays. Empty input gives no rows.
     """
+    return shielded(docs, ("doc_id", "text"), lambda d: _drop_copies(d, keep, digest))
+
+
+def _drop_copies(docs: DataFrame, keep: str, digest: Callable[[Column], Column]) -> DataFrame:
     names = docs.columns
-    hits = materialize(compact(flush(docs, digest), keep))
+    rows, hits = index_rows(docs.select("doc_id", "text"), keep, digest)
+    discard(rows)
     n_hits = hits.count()
     if not n_hits:
         return docs
     keyed = docs.withColumn("digest__", digest(body()))
     some = bounded_broadcast(hits.select(F.col("digest").alias("digest__")), n_hits, 64)
     others = [c for c in names if c not in ("doc_id", "text")]
-    rows = keyed.join(some, "digest__", "left_semi").groupBy("digest__", body().alias("body__")).agg(_winner(keep, "doc_id", "text", *others).alias("row__"))
-    return keyed.join(some, "digest__", "left_anti").select(*names).union(rows.select(*[F.col(f"row__.{c}") for c in names]))
+    known = F.col("doc_id").isNotNull() if keep == "max" else F.col("doc_id").isNull()
+    best = (F.max if keep == "max" else F.min)(F.struct(known.alias("known__"), "doc_id", "text", *others))
+    same = keyed.join(some, "digest__", "left_semi").groupBy("digest__", body().alias("body__")).agg(best.alias("row__"))
+    return keyed.join(some, "digest__", "left_anti").select(*names).union(same.select(*[F.col("row__").getField(c).alias(c) for c in names]))
 
 
 ORACLE = """

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_broadcast, connected_components, materialize, small_batches
+from .common import bounded_broadcast, connected_components, materialize, shielded, small_batches
 
 SHINGLE, DISTANCE, SEED, BYTES = 4, 4, 42, 8
 MIN_SHARED = BYTES - DISTANCE
@@ -237,6 +237,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs from each component: that with the smallest doc_id, null last; where ids repeat, the one with
     the smallest XXH64 of all columns, so that other partitions of the input keep the same row. Columns as given, of any
     name; texts without words have the fingerprint zero; empty input gives no rows. Whole texts count."""
+    return shielded(docs, ("doc_id", "text"), _keep_first)
+
+
+def _keep_first(docs: DataFrame) -> DataFrame:
     names = docs.columns
     marked = docs.withColumns({"row__": F.monotonically_increasing_id(), "mark__": F.xxhash64(*[F.col(c) for c in sorted(names)])})
     marks = materialize(fingerprints(marked, True, "fp__"))
