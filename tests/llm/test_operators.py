@@ -369,7 +369,7 @@ def test_lines_shared_together_are_each_counted(spark):
     rows = [(100 * h + i, "\n".join([*shared("abcdef"[h]), own()]), f"s{h}") for h in range(6) for i in range(50)]
     rows += [(1000 + i, "\n".join([*shared("z"), "a copied text of many more words than ten that is one document however often it recurs"]), "copies") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    often = {r.host: len(r.often) for r in line_quality.frequent_lines(df).collect()}
+    often = Counter(r.host for r in line_quality.frequent_lines(df).collect())
     assert often == {f"ss{h}": 5 for h in range(6)}
     kept = {r.doc_id: r.text for r in line_quality.keep_good(df).collect()}
     assert all(kept[i] == t.split("\n")[5] for i, t, s in rows if s != "copies") and all(kept[i] == t for i, t, s in rows if s == "copies")
@@ -431,6 +431,87 @@ def test_licenses_that_wrap(spark, width):
     assert all(r.score > 0.9 for r in got if r.license)
 
 
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_boilerplate_of_templated_hosts_goes(spark, monkeypatch, most):
+    monkeypatch.setattr(line_quality, "BROADCAST_BYTES", most)  # both ways of bringing lines to documents
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, rich = [], {}
+    for h in range(60):
+        shared = [line(4) for _ in range(20)]
+        for i in range(120):
+            own = [line(3), line(14 if i % 3 else 60)]
+            rows.append((1000 * h + i, "\n".join([*shared[:10], own[0], *shared[10:], own[1]]), f"s{h}"))
+            if not i % 3:
+                rich[1000 * h + i] = "\n".join(own)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    assert Counter(Counter(r.host for r in line_quality.frequent_lines(df).collect()).values()) == {20: 60}
+    kept = {r.doc_id: r.text for r in line_quality.keep_good(df).collect()}
+    assert kept == rich  # 17 of 97 words are under 30 %, 63 of 143 are not
+
+
+def test_a_line_in_very_many_documents_goes_from_a_large_host(spark, monkeypatch):
+    monkeypatch.setattr(line_quality, "LIMIT_MOST", 15)
+    df = spark.range(1000).selectExpr("id doc_id", "concat(if(id % 50 = 0, 'a footer\n', ''), 'own words of document ', repeat(chr(97 + id % 26), id)) text", "'s' source")
+    assert line_quality.frequent_lines(df).count() == 1
+    monkeypatch.setattr(line_quality, "LIMIT_MOST", 25)
+    assert line_quality.frequent_lines(df).isEmpty()
+
+
+def test_stages_take_odd_tables(spark, docs):
+    import corpus_pipeline
+
+    clash = ["n_words__", "host__", "digest__", "row__", "mark__", "often__", "given_3", "fp__", "given"]
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(clash)])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, "")
+        assert name == "bpe" or out.columns == odd.columns
+        assert name == "bpe" or out.count() == stage(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), "").count(), name
+        assert stage(spark, odd.limit(0), "").collect() == []
+
+
+@pytest.mark.parametrize("stage", [simhash.keep_first, mixing.repeat, lsm_dedup.drop_copies])
+def test_other_partitions_give_the_same_rows(spark, stage):
+    rng = random.Random(14)
+    rows = [(rng.choice([None, 1, 2, i]), " ".join(rng.choice("abcd") for _ in range(rng.choice([3, 3, 20]))), rng.choice("xyz"), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    got = [sorted(map(tuple, stage(df.repartition(n)).collect()), key=repr) for n in (1, 2, 5)]
+    assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_index_of_runs(spark):
+    rows = spark.range(4000).selectExpr("unhex(sha2(cast(id % 3000 as string), 256)) digest", "id doc_id", "id row")
+    index = lsm_dedup.Index(4000)
+    for k in range(4):
+        index.add(rows.where(f"id % 4 = {k}".replace("id", "row")))
+    want = {r.digest: (r.n, r.m) for r in rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("m")).collect()}
+    assert {r.digest: (r.n, r.doc_id) for r in index.whole(rows).collect()} == want and sum(map(len, index.levels)) == 1
+    apart = lsm_dedup.Index(4000)  # runs without a digest in common: no entry of one is asked of the other
+    for k in range(2):
+        apart.add(rows.where(f"doc_id >= {1000 * k} AND doc_id < {1000 * k + 20}"))
+    assert apart.reads == 0 and apart.whole(rows).count() == 40
+    apart.add(rows.where("doc_id >= 2000 AND doc_id < 2020"))
+    asked = rows.where("doc_id >= 2010 AND doc_id < 2030").select("digest")
+    assert len(apart.levels[0]) == 1 and apart.lookup(asked).count() == 10 and apart.reads == 1
+    assert apart.lookup(asked.limit(0)).collect() == [] and lsm_dedup.Index(1).lookup(asked).collect() == []
+
+
+def test_scratch_goes_with_its_scope(spark):
+    from pathlib import Path
+
+    from vaultlake.llm import common
+
+    before = common.materialize(spark.range(3))
+    with common.scope(spark):
+        kept, gone = common.materialize(spark.range(4), keep=True), common.materialize(spark.range(5))
+        assert gone.count() == 5
+    there = lambda df: Path(df._scratch.removeprefix("file://")).exists()
+    assert there(before) and there(kept) and not there(gone) and kept.count() == 4
+    common.discard(kept)
+    assert not there(kept)
+
+
 def brute_license(text):
     """Best (score, license, unit) over all runs of segments, by sets."""
     given = license_scan.TEMPLATES | license_scan.FULL_TEXTS

@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, bounded_broadcast, materialize, words
+from .common import BROADCAST_BYTES, SPACE, WORD, materialize, shielded, words
 from .mixing import hash60
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: A line is above the limit if more than this share of its host's documents, and more than so many, hold it.
-LIMIT_PERCENT, LIMIT_DOCS = 2, 10
+#: A line is above the limit if more than LIMIT_DOCS of its host's documents hold it, and these are more than this share
+#: of them or more than LIMIT_MOST.
+LIMIT_PERCENT, LIMIT_DOCS, LIMIT_MOST = 2, 10, 5000
 #: A document is depleted if it keeps under MIN_WORDS words or under this share of them.
 LEFT_PERCENT = 30
 
@@ -52,21 +53,47 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(flat, "\n", -1), lambda x: F.when(x.rlike(f"[^{SPACE}]"), hash60(trim(x))))
 
 
+def _host() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
+def _set(keys: Column) -> Column:
+    """Sorted distinct line hashes, of which the XXH64 tells documents apart."""
+    return F.sort_array(F.array_distinct(F.filter(keys, lambda k: k.isNotNull())))
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """(host, set, key), distinct: a line of a document, where documents with the same lines are one."""
+    rows = fence(docs.select(_host().alias("host"), "text"), keys=_set(line_keys(F.col("text"))))
+    return rows.select("host", F.xxhash64("keys").alias("set"), F.explode("keys").alias("key")).distinct()
+
+
 def frequent_lines(docs: DataFrame) -> DataFrame:
-    """(host, often): the hashes of each host's lines above the limit; hosts without any are absent.
+    """(host, key): the hashes of each host's lines above the limit.
 
     Documents that hold a line count once for each set of line hashes, told apart by its XXH64, so that copies of one
-    document count once however many there are. The list of a host is bounded by the limit itself: each of its lines
-    is in over LIMIT_PERCENT of the documents, so it has under 100 / LIMIT_PERCENT times a document's mean lines.
+    document count once however many there are.
+    """
+    counts = _held(docs).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > LIMIT_DOCS)
+    sizes = docs.select(_host().alias("host")).groupBy("host").agg(F.count("*").alias("docs"))
+    above = (F.col("n") * 100 > F.col("docs") * LIMIT_PERCENT) | (F.col("n") > LIMIT_MOST)
+    return counts.join(sizes, "host").where(above).select("host", "key")
+
+
+def _with_often(docs: DataFrame) -> DataFrame:
+    """docs and often__: hashes of lines above the limit, all of the host's or those of the document; null without any.
+
+    The hosts' lists are broadcast if they fit. Else documents meet the lines they lose by host and set of lines, a key
+    that spreads a host with many documents over all tasks, and lists are no longer than a document.
     """
-    host = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    keys = F.sort_array(F.array_distinct(F.filter(line_keys(F.col("text")), lambda k: k.isNotNull())))
-    rows = fence(docs.select(host.alias("host"), "text"), keys=keys)
-    seen = rows.select("host", F.xxhash64("keys").alias("set"), F.explode("keys").alias("key")).distinct()
-    counts = seen.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > LIMIT_DOCS)
-    sizes = docs.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("docs"))
-    above = counts.join(sizes, "host").where(F.col("n") * 100 > F.col("docs") * LIMIT_PERCENT)
-    return above.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("often"))
+    lines = materialize(frequent_lines(docs))
+    n_lines, width = lines.agg(F.count("*"), F.coalesce(F.max(F.length("host")), F.lit(0))).first()
+    if n_lines * (4 * width + 48) <= BROADCAST_BYTES:
+        some = F.broadcast(lines.groupBy(F.col("host").alias("host__")).agg(F.collect_list("key").alias("often__")))
+        return docs.join(some, _host() == F.col("host__"), "left").select(*docs.columns, "often__")
+    lost = _held(docs).join(lines, ["host", "key"]).groupBy(F.col("host").alias("host__"), F.col("set").alias("set__")).agg(F.collect_list("key").alias("often__"))
+    own = fence(docs, mark__=F.xxhash64(_set(line_keys(F.col("text")))))
+    return own.join(lost, (_host() == F.col("host__")) & (F.col("mark__") == F.col("set__")), "left").select(*docs.columns, "often__")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -74,15 +101,12 @@ def judge(docs: DataFrame) -> DataFrame:
     text without lines above the limit, null where none was removed), base_failed__ and kept__. Needs doc_id, text and
     source; other columns pass through.
 
-    A null text is empty and fails the base rules; null sources are one host. Rows that repeat are judged alike.
+    A null text is empty and fails the base rules; null sources are one host. Rows that repeat are judged alike; texts of
+    any length are read whole; empty input gives no rows. Columns of docs must not end in two underscores.
     Windows are told apart by XXH64 of their five words, of 64 bits, within one document only.
     """
-    often = materialize(frequent_lines(docs))
-    n_hosts, width = often.agg(F.count("*"), F.coalesce(F.max(F.size("often") * 8 + F.length("host") * 4), F.lit(0))).first()
-    host = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    some = bounded_broadcast(often.select(F.col("host").alias("host__"), F.col("often").alias("often__")), n_hosts, width + 40)
     text, c = F.coalesce(F.col("text"), F.lit("")), F.col
-    whole = docs.join(some, host == F.col("host__"), "left").select(*docs.columns, "often__")
+    whole = _with_often(docs)
     one = fence(whole, words__=words(F.col("text")), lines__=F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")),
                 keys__=F.when(c("often__").isNotNull(), line_keys(F.col("text"))))
     w = c("words__")
@@ -113,7 +137,14 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, without the lines above the limit; n_chars follows where the text changed."""
+    """The rows of docs that are kept, without the lines above the limit; n_chars follows where the text changed.
+
+    Nulls, repeated rows and empty tables as in `judge`; other columns pass through, whatever their names.
+    """
+    return shielded(docs, ("doc_id", "text", "source", "n_chars"), _keep_good)
+
+
+def _keep_good(docs: DataFrame) -> DataFrame:
     cut = F.col("cut__")
     put = {"text": F.coalesce(cut, F.col("text"))} | ({"n_chars": F.when(cut.isNull(), F.col("n_chars")).otherwise(F.char_length(cut)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return judge(docs).where("kept__").withColumns(put).select(*docs.columns)
@@ -133,10 +164,9 @@ ln AS (SELECT r, host, unnest(string_split(t, chr(10))) raw, generate_subscripts
 k AS (SELECT r, host, raw, i, CASE WHEN regexp_matches(raw, '[^\x20\x09-\x0D]') THEN
   ('0x' || substr(md5(trim(lower(regexp_replace(raw, '[0-9]+', '0', 'g')), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 1, 15))::BIGINT END key FROM ln),
 u AS (SELECT DISTINCT r, host, key FROM k WHERE key IS NOT NULL),
-o AS (SELECT host, key, coalesce(CASE WHEN key = a THEN b ELSE a END, -1) other FROM (SELECT r, host, key, min(key) OVER (PARTITION BY r) a,
-  nth_value(key, 2) OVER (PARTITION BY r ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) b FROM u)),
-often AS (SELECT o.host, key FROM o JOIN (SELECT host, count(*) docs FROM d GROUP BY host) s ON o.host = s.host GROUP BY o.host, key, docs
-  HAVING count(DISTINCT other) > 10 AND count(DISTINCT other) * 100 > docs * 2),
+st AS (SELECT r, md5(string_agg(key::VARCHAR, ',' ORDER BY key)) st FROM u GROUP BY r),
+often AS (SELECT u.host, key FROM u JOIN st ON u.r = st.r JOIN (SELECT host, count(*) docs FROM d GROUP BY host) s ON u.host = s.host GROUP BY u.host, key, docs
+  HAVING count(DISTINCT st) > 10 AND (count(DISTINCT st) * 100 > docs * 2 OR count(DISTINCT st) > 5000)),
 n AS (SELECT r, sum(len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')))::BIGINT n_left FROM k LEFT JOIN often ON k.host = often.host AND k.key = often.key
   WHERE often.key IS NULL GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
