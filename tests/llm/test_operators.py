@@ -482,19 +482,23 @@ def test_other_partitions_give_the_same_rows(spark, stage):
 
 def test_index_of_runs(spark):
     rows = spark.range(4000).selectExpr("unhex(sha2(cast(id % 3000 as string), 256)) digest", "id doc_id", "id row")
-    index = lsm_dedup.Index(4000)
-    for k in range(4):
-        index.add(rows.where(f"id % 4 = {k}".replace("id", "row")))
     want = {r.digest: (r.n, r.m) for r in rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("m")).collect()}
-    assert {r.digest: (r.n, r.doc_id) for r in index.whole(rows).collect()} == want and sum(map(len, index.levels)) == 1
-    apart = lsm_dedup.Index(4000)  # runs without a digest in common: no entry of one is asked of the other
-    for k in range(2):
-        apart.add(rows.where(f"doc_id >= {1000 * k} AND doc_id < {1000 * k + 20}"))
-    assert apart.reads == 0 and apart.whole(rows).count() == 40
-    apart.add(rows.where("doc_id >= 2000 AND doc_id < 2020"))
+    for parts in (1, 3, 4, 6):
+        index = lsm_dedup.Index(4000)
+        for k in range(parts):
+            index.add(rows.where(f"row % {parts} = {k}"), 4000)
+        assert {r.digest: (r.n, r.doc_id) for r in index.whole().collect()} == want and sum(map(len, index.levels)) == 1
+    apart = lsm_dedup.Index(4000)
+    for k in range(3):
+        apart.add(rows.where(f"doc_id >= {1000 * k} AND doc_id < {1000 * k + 20}"), 20)
+    assert apart.shared(apart.levels[0]).where("maybe").isEmpty()  # nothing goes to the merge
+    again = apart.shared([*apart.levels[0], lsm_dedup.Run(apart.levels[0][1].entries, apart.levels[0][1].bits, 20)])
+    assert again.where("maybe").count() == 40
     asked = rows.where("doc_id >= 2010 AND doc_id < 2030").select("digest")
-    assert len(apart.levels[0]) == 1 and apart.lookup(asked).count() == 10 and apart.reads == 1
+    assert apart.lookup(asked).count() == 10 and apart.reads == 1  # only the run whose filter has a digest is read
     assert apart.lookup(asked.limit(0)).collect() == [] and lsm_dedup.Index(1).lookup(asked).collect() == []
+    with pytest.raises(ValueError, match="min or max"):
+        lsm_dedup.Index(1, "first")
 
 
 def test_scratch_goes_with_its_scope(spark):

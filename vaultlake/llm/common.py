@@ -20,6 +20,8 @@ SPACE = r"\x20\x09-\x0D"
 
 #: Tables of at most this many bytes (row count times row width) may be broadcast.
 BROADCAST_BYTES = 8 << 20
+#: Narrow tables are written in files of so many rows, and at least in so many files.
+ROWS_A_FILE, LEAST_FILES = 1 << 20, 8
 #: An Arrow batch takes no further row beyond this many bytes.
 BATCH_BYTES = 2 << 20
 
@@ -57,15 +59,18 @@ def _files(spark: SparkSession, path: str) -> tuple[object, object]:
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
-def materialize(df: DataFrame, options: dict[str, str] | None = None, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, rows: int | None = None, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts the lineage.
 
     The files outlive any executor, keep column pruning and give the planner true sizes. They go with the scope that is
-    open (unless keep is set), with `discard`, or else when the driver ends.
+    open (unless keep is set), with `discard`, or else when the driver ends. rows: at most so many rows come out of a
+    shuffle; then they are written as files of ROWS_A_FILE instead of one small file a shuffle partition.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark)}/vaultlake/{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
+    df.write.parquet(path)
     fs, at = _files(spark, path)
     fs.deleteOnExit(at)
     if _scopes and not keep:
@@ -141,6 +146,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(floor, "a")
         before, now = now, materialize(
-            small.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).union(floor.select("a", F.col("m").alias("b"))).distinct()
+            small.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).union(floor.select("a", F.col("m").alias("b"))).distinct(),
+            mark[0],
         )
         discard(before)

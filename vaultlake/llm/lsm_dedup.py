@@ -1,23 +1,24 @@
 """Exact dedup by a log-structured merge index of text digests. DataFrame operations only.
 
 Rows go to memtables, each of which is flushed as a run: one entry a digest, sorted, with the number of rows and the
-identifier that stays, and a filter, a bitmap of the digests' hashes. Two runs of a level are compacted into one of the
-next: the filter of one is asked for the digests of the other, only entries that may stand in both are shuffled and
-merged, and the rest is passed on. Digests that occur more than once are hits, and their texts are compared byte for byte.
+identifier that stays, and a filter, a bitmap of the digests' hashes. The runs of a full level are compacted into one of
+the next: each entry is looked up in the filters of the other runs, only entries that may stand in another are shuffled
+and merged, and the rest is passed on. Digests that occur more than once are hits, and their texts are compared byte for byte.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, discard, materialize, shielded
+from .common import LEAST_FILES, ROWS_A_FILE, bounded_broadcast, discard, materialize, shielded
 
 #: Into how many memtables a table is dealt, and how many runs of a level are compacted into one.
-MEMTABLES, FANOUT = 4, 2
+MEMTABLES, FANOUT = 4, 4
 #: Bits of a filter for each row of the table, and what one bucket of a bitmap holds.
 BITS_A_ROW, BUCKET = 16, 1 << 15
 
@@ -44,7 +45,7 @@ class Index:
     """Levels of runs. keep: whether the largest ("max") or smallest ("min") doc_id of a digest stays; null ids lose.
 
     capacity is the number of rows for which the filters are made; with more rows they let more entries through to the
-    merge, and results stay the same. reads counts how many runs had entries read for a lookup or a merge.
+    merge, and results stay the same. reads counts the runs whose entries a lookup has read.
     """
 
     def __init__(self, capacity: int, keep: str = "max") -> None:
@@ -65,52 +66,56 @@ class Index:
 
     def _filter(self, entries: DataFrame) -> DataFrame:
         cell = self._cell()
-        return materialize(entries.select(F.bitmap_bucket_number(cell).alias("bucket"), F.bitmap_bit_position(cell).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")))
+        bits = entries.select(F.bitmap_bucket_number(cell).alias("bucket"), F.bitmap_bit_position(cell).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+        return materialize(bits, self.cells // BUCKET)
 
-    def _maybe(self, digests: DataFrame, run: Run) -> DataFrame:
-        """Those of digests whose bit is set in the run's filter; all that the run holds are among them."""
+    def _asked(self, entries: DataFrame, bits: DataFrame) -> DataFrame:
+        """entries and maybe: whether the bit of the digest is set in a filter, as it is for all digests that went in."""
         cell = self._cell()
-        asked = digests.select("digest", F.bitmap_bucket_number(cell).alias("bucket"), F.bitmap_bit_position(cell).alias("at"))
-        byte = F.conv(F.hex(F.substring("bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-        some = bounded_broadcast(run.bits, self.cells // BUCKET, BUCKET // 8 + 32)
-        set_ = F.expr("shiftright(byte, cast(at % 8 as int)) & 1") == 1
-        return asked.join(some, "bucket").withColumn("byte", byte).where(set_).select("digest")
+        asked = entries.withColumns({"bucket": F.bitmap_bucket_number(cell), "at": F.bitmap_bit_position(cell)})
+        byte = F.conv(F.hex(F.substring("bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        is_set = F.expr("(shiftright(byte, cast(at % 8 AS int)) & 1) = 1")
+        some = bounded_broadcast(bits, self.cells // BUCKET, BUCKET // 8 + 32)
+        return asked.join(some, "bucket", "left").withColumn("byte", byte).select(*entries.columns, F.coalesce(is_set, F.lit(False)).alias("maybe"))
 
-    def add(self, rows: DataFrame) -> None:
-        """Flush a memtable of rows (digest, doc_id, row) as a run of the first level, and compact levels that are full.
+    def add(self, rows: DataFrame, n: int) -> None:
+        """Flush a memtable of n rows (digest, doc_id, row) as a run of the first level, and compact levels that are full.
 
         The grouped maxima are combined in each task before the shuffle, so a digest that a third of all rows share
         moves one row a task.
         """
-        entries = materialize(rows.groupBy("digest").agg(*self._winner(F.count("*"))).sortWithinPartitions("digest"))
+        entries = self._sorted(rows.groupBy("digest").agg(*self._winner(F.count("*"))), n)
         self._push(Run(entries, self._filter(entries), entries.count()), 0)
 
+    def _sorted(self, entries: DataFrame, n: int) -> DataFrame:
+        return materialize(entries.coalesce(max(LEAST_FILES, -(-n // ROWS_A_FILE))).sortWithinPartitions("digest"))
+
     def _push(self, run: Run, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) == FANOUT:
-            first, *others = self.levels[level]
-            self.levels[level] = []
-            for other in others:
-                first = self._compact(first, other)
-            self._push(first, level + 1)
-
-    def _compact(self, a: Run, b: Run) -> Run:
-        small, large = sorted((a, b), key=lambda r: r.size)
-        maybe = materialize(self._maybe(small.entries, large))
-        n = maybe.count()
-        both = small.entries.select("digest", "n", "doc_id", "row").union(large.entries.select("digest", "n", "doc_id", "row"))
-        size = small.size + large.size
-        if n:
-            self.reads += 2
-            asked = bounded_broadcast(maybe, n, 64)
-            merged = both.join(asked, "digest", "left_semi").groupBy("digest").agg(*self._winner(F.sum("n")))
-            both = both.join(asked, "digest", "left_anti").union(merged.select("digest", "n", "doc_id", "row"))
-        entries = materialize(both.sortWithinPartitions("digest"))
-        bits = materialize(small.bits.union(large.bits).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
-        for old in (maybe, a.entries, b.entries, a.bits, b.bits):
-            discard(old)
+            runs, self.levels[level] = self.levels[level], []
+            self._push(self._compact(runs), level + 1)
+
+    def shared(self, runs: list[Run]) -> DataFrame:
+        """The entries of runs and maybe: whether another of them may hold the digest too, by its filter."""
+        out = None
+        for run in runs:
+            bits = [r.bits for r in runs if r is not run]
+            others = reduce(DataFrame.union, bits).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+            own = self._asked(run.entries.select("digest", "n", "doc_id", "row"), others)
+            out = own if out is None else out.union(own)
+        return out
+
+    def _compact(self, runs: list[Run]) -> Run:
+        both, size = self.shared(runs), sum(r.size for r in runs)
+        merged = both.where("maybe").groupBy("digest").agg(*self._winner(F.sum("n"))).select("digest", "n", "doc_id", "row")
+        entries = self._sorted(both.where("NOT maybe").drop("maybe").union(merged), size)
+        bits = materialize(reduce(DataFrame.union, (r.bits for r in runs)).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")), self.cells // BUCKET)
+        for old in runs:
+            discard(old.entries)
+            discard(old.bits)
         return Run(entries, bits, size)
 
     def lookup(self, digests: DataFrame) -> DataFrame:
@@ -118,26 +123,22 @@ class Index:
         distinct. A run whose filter has none of them is not read."""
         out = None
         for run in (r for level in self.levels for r in level):
-            maybe = materialize(self._maybe(digests, run))
-            n = maybe.count()
-            if n:
+            maybe = self._asked(digests.select("digest"), run.bits).where("maybe").select("digest")
+            if not maybe.isEmpty():
                 self.reads += 1
-                found = run.entries.join(bounded_broadcast(maybe, n, 64), "digest", "left_semi").select("digest", "n", "doc_id", "row")
+                found = run.entries.join(maybe, "digest", "left_semi").select("digest", "n", "doc_id", "row")
                 out = found if out is None else out.union(found)
         if out is None:
             return digests.limit(0).selectExpr("digest", "0L AS n", "0L AS doc_id", "0L AS row")
         return out.groupBy("digest").agg(*self._winner(F.sum("n"))).select("digest", "n", "doc_id", "row")
 
-    def whole(self, digests_like: DataFrame) -> DataFrame:
-        """(digest, n, doc_id, row) of all digests, after compacting what runs there are into one."""
+    def whole(self) -> DataFrame:
+        """(digest, n, doc_id, row) of all digests, after compacting what runs there are, one or more, into one."""
         runs = [r for level in self.levels for r in level]
-        if not runs:
-            return digests_like.limit(0).selectExpr("digest", "0L AS n", "doc_id", "0L AS row")
-        first, *others = sorted(runs, key=lambda r: r.size)
-        for other in others:
-            first = self._compact(first, other)
-        self.levels = [*([] for _ in self.levels), [first]]
-        return first.entries.select("digest", "n", "doc_id", "row")
+        if len(runs) > 1:
+            runs = [self._compact(runs)]
+            self.levels = [*([] for _ in self.levels), runs]
+        return runs[0].entries.select("digest", "n", "doc_id", "row")
 
 
 def index_rows(docs: DataFrame, keep: str = "max", digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
@@ -145,10 +146,11 @@ def index_rows(docs: DataFrame, keep: str = "max", digest: Callable[[Column], Co
     (digest, n, doc_id, row) for digests held by more than one row."""
     rows = docs.select(digest(body()).alias("digest"), sha256(body()).alias("sha"), "doc_id", F.monotonically_increasing_id().alias("row"))
     rows = materialize(rows)
-    index = Index(rows.count(), keep)
+    total = rows.count()
+    index = Index(total, keep)
     for k in range(MEMTABLES):
-        index.add(rows.where(F.col("row") % MEMTABLES == k))
-    return rows, materialize(index.whole(rows).where("n > 1"))
+        index.add(rows.where(F.col("row") % MEMTABLES == k), -(-total // MEMTABLES))
+    return rows, materialize(index.whole().where("n > 1"))
 
 
 def rows_of_hits(docs: DataFrame, hits: DataFrame, n_hits: int, digest: Callable[[Column], Column]) -> DataFrame:

@@ -207,13 +207,14 @@ def _join_hot(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFr
     return at_hot.union(at_others)
 
 
-def groups(marks: DataFrame, first: Column) -> DataFrame:
-    """(fp, n, first): for each distinct fp of marks its rows, and the least `first` over all rows whose fp is reachable."""
-    known = materialize(marks.groupBy("fp").agg(F.count("*").alias("n"), F.min(first).alias("first")))
-    parts = materialize(connected_components(links(known.select("fp"))).withColumnRenamed("node", "fp"))
+def groups(marks: DataFrame, first: Column, total: int) -> DataFrame:
+    """(fp, n, first): for each distinct fp of marks (of total rows) its rows, and the least `first` over all rows whose fp
+    is reachable."""
+    known = materialize(marks.groupBy("fp").agg(F.count("*").alias("n"), F.min(first).alias("first")), total)
+    parts = materialize(connected_components(links(known.select("fp"))).withColumnRenamed("node", "fp"), total)
     least = parts.join(known.select("fp", "first"), "fp").groupBy("component").agg(F.count("*").alias("n"), F.min("first").alias("least"))
-    near = _join_hot(parts, materialize(least), "component", parts.count()).select("fp", "least")
-    return materialize(known.join(near, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("first")))
+    near = _join_hot(parts, materialize(least, total), "component", parts.count()).select("fp", "least")
+    return materialize(known.join(near, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("first")), total)
 
 
 def _order() -> Column:
@@ -228,8 +229,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Repeated rows are in one component. Empty input gives no rows.
     """
     marks = materialize(fingerprints(docs.select("doc_id", "text")))
-    found = groups(marks, _order())
-    out = _join_hot(marks, found, "fp", marks.count())
+    total = marks.count()
+    out = _join_hot(marks, groups(marks, _order(), total), "fp", total)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
@@ -246,7 +247,8 @@ def _keep_first(docs: DataFrame) -> DataFrame:
     marks = materialize(fingerprints(marked, True, "fp__"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("mark__").alias("mark"), F.col("row__").alias("row"))
     own = marks.select("doc_id", F.col("fp__").alias("fp"), "row__", "mark__")
-    found = groups(own, order)
-    gone = materialize(_join_hot(own.select("fp", "row__"), found, "fp", marks.count()).where(F.col("row__") != F.col("first.row")).select("row__"))
+    total = marks.count()
+    found = groups(own, order, total)
+    gone = materialize(_join_hot(own.select("fp", "row__"), found, "fp", total).where(F.col("row__") != F.col("first.row")).select("row__"), total)
     rows = marks.join(bounded_broadcast(gone, gone.count(), 32), "row__", "left_anti")
     return rows.select(*names)
