@@ -516,6 +516,51 @@ def test_scratch_goes_with_its_scope(spark):
     assert not there(kept)
 
 
+def test_flows_equal_brute_force_on_a_random_graph(spark):
+    import duckdb
+
+    rng, pages = random.Random(30), []
+    hosts = [f"h{i}." + rng.choice(["io", "io", "io", "net", "org", "example.net", "example.com"]) for i in range(200)]
+    for i, h in enumerate(hosts):
+        for path in rng.sample(["/", "/fr/x", "/de/", "/en/a?b", ""], 2):
+            to = [rng.choice(hosts[i + 1 : i + 60]) for _ in range(rng.randint(0, 4)) if i < 199]
+            if i > 150 and rng.random() < 0.3:
+                to.append(hosts[i])
+            pages.append((len(pages), f"https://{h.upper() if i % 7 == 0 else h}{path}", "".join(f'<A class=x href="//{b}/y">z</A>' for b in to), "x", 0.5, "block"))
+    pages += [(len(pages), None, None, "x", 0.5, "block"), pages[0], pages[3]]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, host string, trust double, verdict string")
+    got = sorted(url_filter.judge(df).collect(), key=repr)
+    edge, good, bad, rows = Counter(), Counter(), Counter(), []
+    for pid, url, html, *_ in pages:
+        host, path = re.match(r"https://([^/?#]*)([^?#]*)", url).groups() if url else ("", "")
+        host = host.lower()
+        found = [(len(r), r, k) for k, r in url_filter.RULES for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        _, rule, kind = max(found, default=(0, None, None))
+        rows.append((pid, host, path, rule, kind))
+        (good if kind == "allow" else bad)[host] += kind is not None
+        for b in re.findall(r'href="//([^/]*)/', html or ""):
+            edge[host, b] += b != host
+    names = sorted({h for e in edge for h in e} | {r[1] for r in rows if r[1]})
+    at = {h: i for i, h in enumerate(names)}
+    ranks = []
+    for seeds, flip in ((good, False), (bad, True)):
+        move, s = np.zeros((len(names), len(names))), np.array([seeds[h] for h in names], float)
+        for (a, b), w in edge.items():
+            move[at[a if flip else b], at[b if flip else a]] += w
+        move /= np.maximum(move.sum(axis=0), 1e-300)
+        r = np.linalg.solve(np.eye(len(names)) - url_filter.DAMPING * move, s)
+        ranks.append(r / r.sum())
+    for r, (pid, host, path, rule, kind) in zip(got, sorted(rows, key=lambda x: repr(x)), strict=False):
+        t, d = (ranks[0][at[r.host]], ranks[1][at[r.host]]) if r.host else (0.0, 0.0)
+        assert (r.trust, r.distrust) == pytest.approx((t, d), rel=1e-4, abs=1e-12)
+        assert r.verdict == ({x[0]: x[4] for x in rows}[r.page_id] or ("block" if d > t else "allow"))
+    assert Counter((r.page_id, r.host, r.path, r.rule) for r in got) == Counter(x[:4] for x in rows)
+    assert 20 < sum(r.rule is None and r.verdict == "block" for r in got) < 200
+    web = df.select("page_id", "url", "html").toArrow()  # noqa: F841
+    want = duckdb.sql(url_filter.ORACLE.replace("FROM pages", "FROM web")).fetchall()
+    assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == Counter(want)
+
+
 def brute_license(text):
     """Best (score, license, unit) over all runs of segments, by sets."""
     given = license_scan.TEMPLATES | license_scan.FULL_TEXTS

@@ -40,7 +40,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op4_license_scan": license_scan.ORACLE, "op6_chat_format": chat.ORACLE, "op7_shard": sharding.ORACLE, "op9_exact_dedup": lsm_dedup.ORACLE, "op10_quality_rules": line_quality.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op4_license_scan": license_scan.ORACLE, "op5_url_filter": url_filter.ORACLE, "op6_chat_format": chat.ORACLE, "op7_shard": sharding.ORACLE, "op9_exact_dedup": lsm_dedup.ORACLE, "op10_quality_rules": line_quality.ORACLE}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialize
+from .common import bounded_broadcast, discard, materialize
 
 #: (verdict, host and path prefix). Fixed values of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -74,7 +74,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, name: str, tolerance: float =
     while not rank.where(growing).isEmpty():
         flow = rank.where("more > 0").join(moves, F.col("host") == F.col("a")).select(F.col("b").alias("host"), F.lit(0.0).alias("r"), (F.col("more") * F.col("p") * DAMPING).alias("more"))
         both = flow.union(rank.select("host", "r", F.lit(0.0))).groupBy("host").agg(F.sum("r").alias("r"), F.sum("more").alias("more"))
-        rank = materialize(both.select("host", (F.col("r") + F.col("more")).alias("r"), "more"))
+        before, rank = rank, materialize(both.select("host", (F.col("r") + F.col("more")).alias("r"), "more"))
+        discard(before)
     total = rank.agg(F.sum("r")).first()[0] or 1.0
     return rank.select("host", (F.col("r") / total).alias(name))
 
@@ -84,8 +85,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
 
     Where a rule fits, verdict is the rule's; else it is block if the host's distrust is above RATIO times its trust.
     Hosts that neither flow reaches, the empty host among them, are allowed. Seeds are weighted by their pages.
-    Null urls have an empty host and path, null html has no links. Repeated rows are judged alike. Empty input gives
-    no rows.
+    Null urls have an empty host and path, null html has no links; urls and pages of any length are read whole. Repeated
+    rows are judged alike and count as seeds as often; other columns are ignored. Empty input gives no rows.
     """
     placed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
@@ -101,3 +102,32 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     out = ruled.join(bounded_broadcast(scores, n_hosts, 4 * (width or 0) + 60), "host", "left").na.fill(0.0, ["trust", "distrust"])
     own = F.when(F.col("distrust") > RATIO * F.col("trust"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "trust", "distrust")
+
+
+def _oracle() -> str:
+    """The same flows summed over all ways of up to 200 links."""
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')"
+    longest = sorted(RULES, key=lambda r: (-len(r[1]), r[1]))
+    case = lambda pick: "CASE " + " ".join(f"WHEN {fits(*r.split('/', 1))} THEN '{pick(k, r)}'" for k, r in longest) + " END"
+    flow = lambda name, moves, seeds: (
+        f"{name} AS (SELECT host, 0 k, {seeds}::DOUBLE / sum({seeds}) OVER () * {1 - DAMPING} more FROM ends WHERE {seeds} > 0 "
+        f"UNION ALL SELECT b, k + 1, sum(more * p * {DAMPING}) FROM {name} JOIN {moves} ON host = a WHERE k < 200 GROUP BY b, k),\n"
+        f"{name}_rank AS (SELECT host, sum(more) / (SELECT sum(more) FROM {name}) r FROM {name} GROUP BY host)"
+    )
+    link = LINK.replace("'", "''")
+    return rf"""
+WITH RECURSIVE u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{A_Z}', '{a_z}') host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path, coalesce(html, '') html FROM pages),
+ruled AS (SELECT page_id, host, path, html, {case(lambda k, r: r)} rule, {case(lambda k, r: k)} verdict FROM u),
+l AS (SELECT host a, translate(regexp_extract(link, '^(?:[^/]*)//([^/?#]*)', 1), '{A_Z}', '{a_z}') b FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) link FROM ruled)),
+e AS (SELECT a, b, count(*) w FROM l WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
+down AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) p FROM e), up AS (SELECT b a, a b, w / sum(w) OVER (PARTITION BY b) p FROM e),
+ends AS (SELECT host, count(*) FILTER (verdict = 'allow') good, count(*) FILTER (verdict = 'block') bad FROM ruled WHERE host <> '' GROUP BY host),
+{flow("trust", "down", "good")},
+{flow("distrust", "up", "bad")}
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(d.r, 0) > {RATIO} * coalesce(t.r, 0) THEN 'block' ELSE 'allow' END) verdict
+FROM ruled LEFT JOIN trust_rank t USING (host) LEFT JOIN distrust_rank d USING (host)
+"""
+
+
+ORACLE = _oracle()
