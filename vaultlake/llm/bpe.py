@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 #: Entries that a worker keeps of pieces (in each of two generations) and of pairs. Longer pieces are not kept.
-PIECES, PAIRS, PIECE_BYTES = 80_000, 200_000, 48
+PIECES, PAIRS, PIECE_BYTES = 160_000, 300_000, 48
 
 Ranges = list[tuple[int, int]]
 
