@@ -2,36 +2,84 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digests import EMPTY_ROOT, leaf_hash
-from ..functions.scalars import matches, snapshot_kind
+from ..functions.digests import EMPTY_ROOT, leaf_hash, merkle_node
+from ..functions.scalars import matches, safe_name, snapshot_kind
+from ..tables import cut, number
 
 MAX_DEPTH = 4096
 
 
 def walk(dentries: DataFrame, root: int = 1) -> DataFrame:
-    """(path, inode_id, depth) of all below root, level by level. A node met again on its own path ends that path."""
-    edges = dentries.select(F.col("parent_inode").alias("p"), "name", F.col("inode_id").alias("c")).cache()
-    level = edges.where(F.col("p") == root).select(F.concat(F.lit("/"), "name").alias("path"), F.col("c").alias("inode_id"), F.array(F.lit(root), F.col("c")).alias("seen"))
+    """(path, inode_id, depth, parent_inode, name) of all below root, level by level, a file under each of its names. A
+    node met again on its own path ends that path."""
+    edges = cut(dentries.select(F.col("parent_inode").alias("p"), "name", F.col("inode_id").alias("c")))
+    level = edges.where(F.col("p") == root).select(F.concat(F.lit("/"), "name").alias("path"), F.col("c").alias("inode_id"), "p", "name", F.array(F.lit(root), F.col("c")).alias("seen"))
     found, depth = [], 1
     while depth <= MAX_DEPTH:
-        level = level.cache()
+        level = cut(level)
         if level.isEmpty():
             break
-        found.append(level.select("path", "inode_id", F.lit(depth).alias("depth")))
-        below = level.join(edges, level["inode_id"] == edges["p"]).where(~F.array_contains("seen", F.col("c")))
-        level = below.select(F.concat("path", F.lit("/"), "name").alias("path"), F.col("c").alias("inode_id"), F.array_append("seen", F.col("c")).alias("seen"))
+        found.append(level.select("path", "inode_id", F.lit(depth).alias("depth"), F.col("p").alias("parent_inode"), "name"))
+        above = level.select("path", F.col("inode_id").alias("up"), "seen")
+        below = above.join(edges, above["up"] == edges["p"]).where(~F.array_contains("seen", F.col("c")))
+        level = below.select(F.concat("path", F.lit("/"), "name").alias("path"), F.col("c").alias("inode_id"), "p", "name", F.array_append("seen", F.col("c")).alias("seen"))
         depth += 1
     else:
         raise ValueError(f"deeper than {MAX_DEPTH} levels")
     if not found:
-        return level.select("path", "inode_id", F.lit(0).alias("depth"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+        return level.select("path", "inode_id", F.lit(0).alias("depth"), F.col("p").alias("parent_inode"), "name")
+    return reduce(DataFrame.union, found)
+
+
+def climb(dentries: DataFrame, start: DataFrame, root: int = 1) -> DataFrame:
+    """(start, ancestor, steps) of inodes (start), upwards to root by the smallest parent, a node's own row at 0 steps."""
+    edges = cut(dentries.groupBy(F.col("inode_id").alias("c")).agg(F.min("parent_inode").alias("p")))
+    level, found = start.select("start", F.col("start").alias("ancestor"), F.lit(0).alias("steps")), []
+    for steps in range(MAX_DEPTH + 1):
+        level = cut(level)
+        if level.isEmpty():
+            return reduce(DataFrame.union, found, level)
+        found.append(level)
+        level = level.where(F.col("ancestor") != root).join(edges, F.col("ancestor") == F.col("c")).select("start", F.col("p").alias("ancestor"), F.lit(steps + 1).alias("steps"))
+    raise ValueError(f"deeper than {MAX_DEPTH} levels")
+
+
+def resolve(walked: DataFrame, requests: DataFrame, root: int = 1) -> DataFrame:
+    """(path, inode_id, status) of requested paths: found, missing, or unsafe where a component is . or .. ; the root is /."""
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    clean = F.concat(F.lit("/"), F.array_join(parts, "/"))
+    asked = requests.select("path", clean.alias("clean"), F.forall(parts, safe_name).alias("safe"))
+    found = asked.join(walked.select(F.col("path").alias("clean"), "inode_id"), "clean", "left")
+    inode = F.when(F.col("safe"), F.when(F.col("clean") == "/", F.lit(root).cast("long")).otherwise(F.col("inode_id")))
+    return found.select("path", inode.alias("inode_id"), F.when(~F.col("safe"), "unsafe").when(inode.isNull(), "missing").otherwise("found").alias("status"))
+
+
+def resolve_links(walked: DataFrame, links: DataFrame, requests: DataFrame, most: int = 40) -> DataFrame:
+    """(path, target, status) of requested paths with symbolic links (inode_id, target) followed: found, missing, or loop
+    beyond `most` links. An absolute target starts at the root; a relative one is appended to the link's own path."""
+    named = cut(walked.join(links, "inode_id", "left").select(F.col("path").alias("at"), F.col("target").alias("to")))
+    now, done = cut(requests.select("path", F.col("path").alias("at"))), []
+    for _ in range(most + 1):
+        # the longest prefix that is a link is where the path turns
+        parts = F.split("at", "/")
+        heads = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        met = now.select("path", "at", F.posexplode(heads).alias("n", "head")).join(named.where("to IS NOT NULL").withColumnRenamed("at", "head"), "head")
+        first = met.groupBy("path").agg(F.min_by(F.struct("head", "to", "at"), "n").alias("f"))
+        rest = F.expr("substring(f.at, length(f.head) + 1)")
+        turned = F.when(F.col("f.to").startswith("/"), F.concat("f.to", rest)).otherwise(F.concat("f.head", F.lit("/"), "f.to", rest))
+        turned = cut(first.select("path", turned.alias("at")))
+        done.append(now.join(turned.select("path"), "path", "left_anti"))
+        now = turned
+        if now.isEmpty():
+            break
+    ended = reduce(DataFrame.union, done).join(named.select("at", F.lit(True).alias("there")), "at", "left")
+    out = ended.select("path", F.when(F.col("there"), F.col("at")).alias("target"), F.when(F.col("there"), "found").otherwise("missing").alias("status"))
+    return out.union(now.select("path", F.lit(None).cast("string"), F.lit("loop")))
 
 
 def subtree(walked: DataFrame, path: str) -> DataFrame:
@@ -49,6 +97,11 @@ def excluded(found: DataFrame, patterns: list[str]) -> DataFrame:
     return found.select("path", (~hit).alias("counted"), (~below).alias("ingested"))
 
 
+def counted(found: DataFrame, patterns: list[str]) -> DataFrame:
+    """What an estimate counts: the files that match no pattern."""
+    return found.where(~reduce(lambda a, b: a | b, (matches(F.col("path"), p) for p in patterns), F.lit(False)))
+
+
 def _any(paths: Column, pattern: str) -> Column:
     return F.exists(paths, lambda x: matches(x, pattern))
 
@@ -63,40 +116,85 @@ def creates_cycle(walked: DataFrame, source: str, target_parent: str) -> bool:
     return not subtree(walked, source).where(F.col("path") == target_parent).isEmpty()
 
 
-def tree_hashes(inodes: DataFrame, dentries: DataFrame, root: int = 1) -> DataFrame:
-    """(inode_id, hash, depth) of every node, the deepest first, the root at depth 0.
-
-    A directory's hash binds its children's in name order, in UTF-8 byte order. A null digest or a special file makes
-    all above it null. One grouped aggregation a level, deepest level first.
+class Folds:
+    """Merkle folds of many ordered lists at once: levels[k] has (dir, i, hash), the nodes of each list's level k."""
+
+    def __init__(self, leaves: DataFrame, key: str, *order: str) -> None:
+        """leaves (key, order columns, hash, more): index is (leaves, dir, i), where i counts a list's leaves from 0 in
+        order. Nodes pair upwards, an odd one with itself; a null hash makes all above it null."""
+        self.index = number(leaves, key, *order, name="at__")
+        first = self.index.groupBy(F.col(key).alias("dir")).agg(F.min("at__").alias("first"), F.count("*").alias("n"))
+        first = cut(first)
+        self.index = self.index.join(first, F.col(key) == F.col("dir")).withColumn("i", F.col("at__") - F.col("first")).drop("at__", "first")
+        most = first.agg(F.max("n")).first()[0] or 0
+        level = self.index.select("dir", "i", "hash", F.col("n").alias("left"))
+        self.levels = [level]
+        while most > 1:
+            pair = level.groupBy("dir", F.floor(F.col("i") / 2).alias("i"), "left").agg(
+                F.count("*").alias("k"), F.max(F.when(F.col("i") % 2 == 0, F.col("hash"))).alias("l"), F.max(F.when(F.col("i") % 2 == 1, F.col("hash"))).alias("r"))
+            above = F.when(F.col("left") == 1, F.col("l")).otherwise(merkle_node(F.col("l"), F.when(F.col("k") == 1, F.col("l")).otherwise(F.col("r"))))
+            level = pair.select("dir", "i", above.alias("hash"), F.ceil(F.col("left") / 2).alias("left"))
+            self.levels.append(level)
+            most = (most + 1) // 2
+
+    def roots(self) -> DataFrame:
+        """(dir, root) of each list."""
+        return self.levels[-1].select("dir", F.col("hash").alias("root"))
+
+    def proofs(self, wanted: DataFrame) -> DataFrame:
+        """wanted (dir, i, more) with siblings array<string>, levels int, of each leaf asked for."""
+        out = wanted.join(self.index.groupBy("dir").agg(F.count("*").alias("n")), "dir")
+        out = out.withColumn("levels", (F.ceil(F.log2("n") - 1e-12) + 1).cast("int"))
+        siblings = F.array().cast("array<string>")
+        columns = [*wanted.columns, "levels"]
+        out = out.select(*columns, "n", siblings.alias("siblings"))
+        for k, level in enumerate(self.levels[:-1]):
+            here = F.floor(F.col("i") / (1 << k))
+            width = F.ceil(F.col("n") / (1 << k))
+            other = F.when(here.bitwiseXOR(1) < width, here.bitwiseXOR(1)).otherwise(here)
+            node = level.select(F.col("dir").alias("d__"), F.col("i").alias("i__"), F.col("hash").alias("h__"))
+            out = out.join(node, (F.col("dir") == F.col("d__")) & (other == F.col("i__"))).withColumn("siblings", F.when(width > 1, F.array_append("siblings", F.col("h__"))).otherwise(F.col("siblings"))).drop("d__", "i__", "h__")
+        return out.drop("n")
+
+
+def node_hashes(inodes: DataFrame, dentries: DataFrame, root: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(nodes, root): (path, inode_id, parent_inode, name, depth, hash) of every name, and (hash) of the root.
+
+    A directory's content is the Merkle root over its children's hashes in name order; a node's hash binds name, kind,
+    mode and content. A null digest or a special file makes all above it null. A file with several names stands under
+    each of them. Levels are folded deepest first, each by a few grouped aggregations; no task holds a directory.
     """
-    walked = walk(dentries, root).cache()
     attributes = inodes.select(F.col("id").alias("inode_id"), "mode", "file_digest")
-    parent = dentries.select(F.col("inode_id"), F.col("parent_inode"), "name")
-    nodes = walked.join(attributes, "inode_id").join(parent, "inode_id").cache()
-    deepest = walked.agg(F.max("depth")).first()[0] or 0
-    child = None  # (parent_inode, hash) of directories at the level above
-    out = []
+    nodes = cut(walk(dentries, root).join(attributes, "inode_id"))
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    kind, below, out = snapshot_kind(F.col("mode")), None, []
     for depth in range(deepest, 0, -1):
         level = nodes.where(F.col("depth") == depth)
-        own = F.col("file_digest")
-        if child is not None:
-            level = level.join(child, level["inode_id"] == child["dir"], "left")
-            own = F.when(snapshot_kind(F.col("mode")) == 2, F.coalesce(F.col("dir_hash"), F.when(F.col("dir").isNull(), F.lit(EMPTY_ROOT)))).otherwise(own)
+        if below is None:
+            own = F.when(kind == 2, F.lit(EMPTY_ROOT)).otherwise(F.col("file_digest"))
         else:
-            own = F.when(snapshot_kind(F.col("mode")) == 2, F.lit(EMPTY_ROOT)).otherwise(own)
-        level = level.select("inode_id", "depth", "parent_inode", "name", leaf_hash(F.col("name"), snapshot_kind(F.col("mode")), F.col("mode"), F.when(snapshot_kind(F.col("mode")).isNotNull(), own)).alias("hash")).cache()
-        out.append(level.select("inode_id", "hash", "depth"))
-        child = _fold(level)
-    top = child.where(F.col("dir") == root).select(F.lit(root).cast("long").alias("inode_id"), F.col("dir_hash").alias("hash"), F.lit(0).alias("depth")) if child is not None else None
-    if top is None:
-        return inodes.where(F.col("id") == root).select(F.col("id").alias("inode_id"), F.lit(EMPTY_ROOT).alias("hash"), F.lit(0).alias("depth"))
-    for o in out:
-        top = top.union(o)
-    return top
-
-
-def _fold(level: DataFrame) -> DataFrame:
-    """(dir, dir_hash): digest of the ordered child hashes, null if any is."""
-    ordered = F.array_sort(F.collect_list(F.struct("name", "hash")))
-    whole = F.when(F.bool_and(F.col("hash").isNotNull()), F.sha2(F.array_join(F.transform(ordered, lambda x: x["hash"]), ""), 256))
-    return level.groupBy(F.col("parent_inode").alias("dir")).agg(whole.alias("dir_hash"))
+            level = level.join(below, level["inode_id"] == below["dir"], "left")
+            own = F.when(kind == 2, F.when(F.col("dir").isNull(), F.lit(EMPTY_ROOT)).otherwise(F.col("root"))).otherwise(F.col("file_digest"))
+        hash_ = leaf_hash(F.col("name"), kind, F.col("mode"), F.when(kind.isNotNull(), own))
+        level = cut(level.select("path", "inode_id", "parent_inode", "name", "depth", hash_.alias("hash")))
+        out.append(level)
+        below = cut(Folds(level, "parent_inode", "name").roots())
+    if below is None:
+        return nodes.withColumn("hash", F.lit(None).cast("string")).drop("mode", "file_digest"), inodes.where(F.col("id") == root).select(F.lit(EMPTY_ROOT).alias("hash"))
+    return reduce(DataFrame.union, out), below.where(F.col("dir") == root).select(F.col("root").alias("hash"))
+
+
+def tree_hashes(inodes: DataFrame, dentries: DataFrame, root: int = 1) -> DataFrame:
+    """(inode_id, hash, depth) of every name, the root at depth 0."""
+    nodes, top = node_hashes(inodes, dentries, root)
+    return top.select(F.lit(root).cast("long").alias("inode_id"), "hash", F.lit(0).alias("depth")).union(nodes.select("inode_id", "hash", "depth"))
+
+
+def inclusion_proofs(nodes: DataFrame) -> DataFrame:
+    """(path, inode_id, leaf, i, siblings, levels, dir_root): of every node of `node_hashes` the proof within its directory.
+
+    A path is proved by the proofs of its components: each directory's root is the content of the node above.
+    """
+    folds = Folds(nodes, "parent_inode", "name")
+    wanted = folds.index.select("dir", "i", "path", "inode_id", F.col("hash").alias("leaf"))
+    return folds.proofs(wanted).join(folds.roots(), "dir").select("path", "inode_id", "leaf", "i", "siblings", "levels", F.col("root").alias("dir_root"))

@@ -34,20 +34,21 @@ def unchanged_root(old_root: Column, new_root: Column) -> Column:
 def retention(snaps: DataFrame, daily: int = 0, weekly: int = 0, monthly: int = 0, yearly: int = 0) -> DataFrame:
     """snaps (archive, id, timestamp, protected) with kept: by a rule, or protected; without rules all are kept.
 
-    Of each rule's latest periods the newest snapshot is kept, of equal times that with the smallest id.
+    Of each rule's latest periods the newest snapshot is kept, of equal times that with the smallest id. All rules share
+    one order, newest first: a snapshot opens a period where the one before it lies in another, and the number of periods
+    opened so far is a running sum.
     """
     rules = [(k, n) for k, n in zip(("day", "week", "month", "year"), (daily, weekly, monthly, yearly), strict=True) if n]
     if not rules:
         return snaps.withColumn("kept", F.lit(True))
-    keep, out = F.lit(False), snaps
+    order = Window.partitionBy("archive").orderBy(F.col("timestamp").desc(), F.col("id").asc())
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    out, keep = snaps.withColumns({f"p_{k}": period(F.col("timestamp"), k) for k, _ in rules}), F.col("protected")
+    opens = {f"o_{k}": F.col(f"p_{k}").isNotNull() & ~F.col(f"p_{k}").eqNullSafe(F.lag(f"p_{k}").over(order)) for k, _ in rules}
+    out = out.withColumns(opens).withColumns({f"n_{k}": F.sum(F.col(f"o_{k}").cast("int")).over(so_far) for k, _ in rules})
     for kind, n in rules:
-        p = f"p_{kind}"
-        out = out.withColumn(p, period(F.col("timestamp"), kind))
-        first = F.row_number().over(Window.partitionBy("archive", p).orderBy(F.col("timestamp").desc(), F.col("id").asc())) == 1
-        late = F.dense_rank().over(Window.partitionBy("archive").orderBy(F.col(p).desc_nulls_last())) <= n
-        out = out.withColumn(f"k_{kind}", F.col(p).isNotNull() & first & late)
-        keep = keep | F.col(f"k_{kind}")
-    return out.withColumn("kept", keep | F.col("protected")).select(*snaps.columns, "kept")
+        keep = keep | (F.col(f"o_{kind}") & (F.col(f"n_{kind}") <= n))
+    return out.withColumn("kept", keep).select(*snaps.columns, "kept")
 
 
 def keep_newest(snaps: DataFrame, keep: int) -> DataFrame:
@@ -62,13 +63,15 @@ def check_plans(plans: DataFrame, snaps: DataFrame, revisions: DataFrame) -> Dat
     revisions (archive, revision) are current; a plan for an archive without one names a wrong archive.
     """
     ids = plans.select("plan", "archive", F.explode("ids").alias("id")).join(snaps.select("archive", "id", "protected"), ["archive", "id"], "left")
-    seen = ids.groupBy("plan").agg(F.bool_or(F.coalesce("protected", F.lit(False))).alias("guarded"), F.bool_or(F.col("protected").isNull()).alias("unknown"), F.countDistinct("id").alias("n"))
+    # ids are looked at in ascending order, and the first that is protected or unknown names the outcome
+    bad = F.when(F.col("protected").isNull(), "UNKNOWN_SNAPSHOT").when(F.col("protected"), "SNAPSHOT_PROTECTED")
+    seen = ids.groupBy("plan").agg(F.min_by(bad, F.when(bad.isNotNull(), F.col("id"))).alias("bad"), F.countDistinct("id").alias("n"))
     counts = snaps.groupBy("archive").agg(F.count("*").alias("all"))
     out = plans.join(revisions.withColumnRenamed("revision", "now"), "archive", "left").join(counts, "archive", "left").join(seen, "plan", "left")
     size = F.size("ids")
     outcome = (
         F.when(size == 0, "NOOP").when(F.size(F.array_distinct("ids")) < size, "DUPLICATE_ID").when(F.col("now").isNull(), "WRONG_ARCHIVE").when(F.col("now") != F.col("revision"), "STALE_HISTORY")
-        .when((F.col("n") >= F.coalesce("all", F.lit(0))) & ~F.col("allow_empty"), "EMPTY_HISTORY_FORBIDDEN").when(F.col("guarded"), "SNAPSHOT_PROTECTED").when(F.col("unknown"), "UNKNOWN_SNAPSHOT").otherwise("APPLIED")
+        .when((F.col("n") >= F.coalesce("all", F.lit(0))) & ~F.col("allow_empty"), "EMPTY_HISTORY_FORBIDDEN").when(F.col("bad").isNotNull(), F.col("bad")).otherwise("APPLIED")
     )
     return out.select("plan", outcome.alias("outcome"))
 

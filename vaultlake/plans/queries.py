@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,9 +66,7 @@ def dedup_stats(spark, sf_dir):
 
 @query("SELECT count(*)::BIGINT files, coalesce(sum(size), 0)::BIGINT bytes FROM f WHERE NOT (path LIKE '/fr/%')")
 def backup_estimate(spark, sf_dir):
-    found = _files(spark, sf_dir)
-    counted = tree.excluded(found, ["/fr/**"]).where("counted").select("path")
-    return found.join(counted, "path").agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return tree.counted(_files(spark, sf_dir), ["/fr/**"]).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 @query("SELECT path, NOT path LIKE '%/src1/%' counted, NOT path LIKE '%/src1/%' AND NOT path LIKE '/de/%' ingested FROM f")
@@ -97,7 +96,7 @@ def readdir_page(spark, sf_dir):
 @query("SELECT path, inode inode_id, 3 depth FROM f UNION ALL SELECT dir, id, len(dir) - len(replace(dir, '/', '')) FROM dd WHERE dir <> ''")
 def tree_walk(spark, sf_dir):
     _, edges = archive.tree(_files(spark, sf_dir))
-    return tree.walk(edges)
+    return tree.walk(edges).select("path", "inode_id", "depth")
 
 
 @query("SELECT path, inode inode_id FROM f WHERE path LIKE '/de/%' UNION ALL SELECT dir, id FROM dd WHERE dir = '/de' OR dir LIKE '/de/%'")
@@ -214,13 +213,13 @@ def prune_newest(spark, sf_dir):
 
 
 @query("""SELECT archive plan, CASE WHEN archive % 11 = 0 THEN 'NOOP' WHEN archive % 13 = 0 THEN 'DUPLICATE_ID' WHEN archive % 7 = 0 THEN 'WRONG_ARCHIVE' WHEN archive % 5 = 0 THEN 'STALE_HISTORY'
-WHEN n <= 2 THEN 'EMPTY_HISTORY_FORBIDDEN' WHEN n >= 17 AND archive % 3 = 0 THEN 'SNAPSHOT_PROTECTED' WHEN archive % 3 = 0 THEN 'UNKNOWN_SNAPSHOT' ELSE 'APPLIED' END outcome
+WHEN n <= 2 THEN 'EMPTY_HISTORY_FORBIDDEN' WHEN archive % 3 = 0 AND archive % 2 = 0 THEN 'UNKNOWN_SNAPSHOT' WHEN n >= 17 AND archive % 3 = 0 THEN 'SNAPSHOT_PROTECTED' WHEN archive % 3 = 0 THEN 'UNKNOWN_SNAPSHOT' ELSE 'APPLIED' END outcome
 FROM (SELECT archive, count(*) n FROM sn GROUP BY archive)""")
 def delete_plan(spark, sf_dir):
     snaps = _snapshots(spark, sf_dir)
     a = F.col("archive")
     archives = snaps.select("archive").distinct()
-    ids = F.when(a % 11 == 0, F.array().cast("array<long>")).when(a % 13 == 0, F.array(F.lit(1), F.lit(1))).when(a % 3 == 0, F.array(F.lit(1), F.lit(17))).otherwise(F.array(F.lit(1), F.lit(2)))
+    ids = F.when(a % 11 == 0, F.array().cast("array<long>")).when(a % 13 == 0, F.array(F.lit(1), F.lit(1))).when((a % 3 == 0) & (a % 2 == 0), F.array(F.lit(17), F.lit(-1))).when(a % 3 == 0, F.array(F.lit(17), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))
     plans = archives.select(a.alias("plan"), "archive", F.lit(4).alias("revision"), F.lit(False).alias("allow_empty"), ids.cast("array<long>").alias("ids"))
     now = archives.where(a % 7 != 0).select("archive", F.when(a % 5 == 0, 5).otherwise(4).alias("revision"))
     return versions.check_plans(plans, snaps, now)
@@ -321,16 +320,47 @@ def snapshot_entry_hash(spark, sf_dir):
     return _files(spark, sf_dir).select("path", digests.entry_hash(F.col("path"), F.lit(1), F.col("mode"), F.col("size"), F.col("object_id")).alias("hash"))
 
 
-@query(""", l3 AS (SELECT '/' || lang || '/' || source dir, doc_id || '.txt' AS name, sha256('node|1|33188|' || strlen(doc_id || '.txt') || ':' || doc_id || '.txt|' || sha256(coalesce(text, ''))) h FROM documents),
-d3 AS (SELECT dir, sha256(string_agg(h, '' ORDER BY name)) dh FROM l3 GROUP BY dir),
-l2 AS (SELECT regexp_extract(dir, '^(.*)/[^/]*$', 1) up, dir, regexp_extract(dir, '([^/]*)$', 1) AS name, sha256('node|2|16877|' || strlen(regexp_extract(dir, '([^/]*)$', 1)) || ':' || regexp_extract(dir, '([^/]*)$', 1) || '|' || dh) h FROM d3),
-d2 AS (SELECT up dir, sha256(string_agg(h, '' ORDER BY name)) dh FROM l2 GROUP BY up),
-l1 AS (SELECT dir, substr(dir, 2) AS name, sha256('node|2|16877|' || strlen(substr(dir, 2)) || ':' || substr(dir, 2) || '|' || dh) h FROM d2)
-SELECT 1 AS inode_id, sha256(string_agg(h, '' ORDER BY name)) AS hash, 0 AS depth FROM l1
-UNION ALL SELECT id, h, 1 FROM l1 JOIN dd ON dd.dir = l1.dir UNION ALL SELECT id, h, 2 FROM l2 JOIN dd ON dd.dir = l2.dir""")
+def _fold(name: str, leaves: str) -> str:
+    """Merkle roots as CTEs: {name}_root (dir, root) over leaves (dir, name, h)."""
+    return f"""{name}_l AS (SELECT dir, row_number() OVER (PARTITION BY dir ORDER BY name) - 1 i, count(*) OVER (PARTITION BY dir) n, h FROM ({leaves})),
+{name}_t AS (SELECT dir, i, n, h FROM {name}_l UNION ALL SELECT dir, i // 2, (n + 1) // 2, sha256('pair|' || max(CASE WHEN i % 2 = 0 THEN h END) || max(CASE WHEN i % 2 = 1 OR i = n - 1 THEN h END))
+  FROM {name}_t WHERE n > 1 GROUP BY dir, i // 2, n), {name}_root AS (SELECT dir, h root FROM {name}_t WHERE n = 1)"""
+
+
+_NODE = "sha256('node|{kind}|{mode}|' || strlen({name}) || ':' || {name} || '|' || {content})"
+_LAST, _UP = "regexp_extract({0}, '([^/]*)$', 1)", "regexp_extract({0}, '^(.*)/[^/]*$', 1)"
+#: Every tenth document has a second name in its source's folder.
+_TREE = f""", l3 AS (SELECT '/' || lang || '/' || source dir, inode, t.name, {_NODE.format(kind=1, mode=33188, name="t.name", content="object_id")} h FROM (SELECT f.inode, f.object_id, d.lang, d.source, u.name
+  FROM f JOIN documents d ON f.doc_id = d.doc_id, unnest(CASE WHEN d.doc_id % 10 = 0 THEN [d.doc_id || '.txt', d.doc_id || '.lnk'] ELSE [d.doc_id || '.txt'] END) u(name)) t),
+{_fold("f3", "SELECT dir, name, h FROM l3")},
+l2 AS (SELECT {_UP.format("dir")} dir, dir path, {_LAST.format("dir")} AS name, {_NODE.format(kind=2, mode=16877, name=_LAST.format("dir"), content="root")} h FROM f3_root),
+{_fold("f2_", "SELECT dir, name, h FROM l2")},
+l1 AS (SELECT '' dir, dir path, substr(dir, 2) AS name, {_NODE.format(kind=2, mode=16877, name="substr(dir, 2)", content="root")} h FROM f2__root),
+{_fold("f1", "SELECT dir, name, h FROM l1")}"""
+
+
+def _linked_tree(spark, sf_dir):
+    """The tree of documents, every tenth under a second name."""
+    found = _files(spark, sf_dir)
+    nodes, edges = archive.tree(found)
+    second = edges.where(F.col("name").endswith("0.txt")).withColumn("name", F.concat(F.regexp_extract("name", "^(.*)[.]txt$", 1), F.lit(".lnk")))
+    return nodes, edges.unionByName(second)
+
+
+@query(_TREE + """ SELECT 1 AS inode_id, root AS hash, 0 AS depth FROM f1_root UNION ALL SELECT id, h, 1 FROM l1 JOIN dd ON dd.dir = l1.path
+UNION ALL SELECT id, h, 2 FROM l2 JOIN dd ON dd.dir = l2.path UNION ALL SELECT inode, h, 3 FROM l3""")
 def tree_root(spark, sf_dir):
-    nodes, edges = archive.tree(_files(spark, sf_dir))
-    return tree.tree_hashes(nodes, edges).where("depth < 3")
+    return tree.tree_hashes(*_linked_tree(spark, sf_dir))
+
+
+@query(_TREE + """, p AS (SELECT l3.dir || '/' || name path, h leaf, l3.dir FROM l3 UNION ALL SELECT path, h, dir FROM l2 UNION ALL SELECT path, h, dir FROM l1),
+r AS (SELECT dir, root FROM f3_root UNION ALL SELECT dir, root FROM f2__root UNION ALL SELECT dir, root FROM f1_root)
+SELECT path, leaf, root dir_root, ceil(log2(count(*) OVER (PARTITION BY p.dir)) - 1e-12)::INTEGER siblings, TRUE ok FROM p JOIN r ON p.dir = r.dir""")
+def merkle_proofs(spark, sf_dir):
+    """Every node's proof in its directory, checked against the directory's root."""
+    proofs = tree.inclusion_proofs(tree.node_hashes(*_linked_tree(spark, sf_dir))[0])
+    ok = digests.verify_inclusion(*[F.col(c) for c in ("leaf", "i", "siblings", "levels", "dir_root")])
+    return proofs.select("path", "leaf", "dir_root", F.size("siblings").alias("siblings"), ok.alias("ok"))
 
 
 @query("SELECT event_id, CASE (event_id % 8) WHEN 0 THEN 'directory' WHEN 1 THEN 'regular' WHEN 2 THEN 'symlink' WHEN 3 THEN 'fifo' WHEN 4 THEN 'char_device' WHEN 5 THEN 'block_device' WHEN 6 THEN 'socket' ELSE 'regular' END AS kind FROM events")
@@ -387,7 +417,16 @@ def bundle_check(spark, sf_dir):
 SECRET = b"an archive secret of 32 bytes..."
 
 
-@query()
+def _hmac_sql(key: bytes, data: str) -> str:
+    """Hex HMAC-SHA-256 of a BLOB expression."""
+    inner, outer = ("".join(f"\\x{b ^ x:02X}" for b in key.ljust(64, b"\0")) for x in (0x36, 0x5C))
+    return f"sha256('{outer}'::BLOB || unhex(sha256('{inner}'::BLOB || {data})))"
+
+
+_IDENTITY_KEY = hashlib.sha256(b"content identity:" + SECRET).digest()
+
+
+@query(f"SELECT inode, {_hmac_sql(_IDENTITY_KEY, 'encode(content)')} content_id, {_hmac_sql(SECRET, "encode(lpad(hex(inode), 16, '0') || ':' || path)")} name_key FROM f")
 def content_identity(spark, sf_dir):
     found = _files(spark, sf_dir)
     return found.select("inode", digests.content_id(SECRET, F.col("content")).alias("content_id"), digests.name_key(SECRET, F.col("inode"), F.col("path")).alias("name_key"))
