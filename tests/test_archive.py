@@ -30,10 +30,11 @@ def test_diff_classes(spark):
 
 
 def test_inventory_lists_unreferenced_only_if_complete(spark):
-    want = spark.createDataFrame([("good",), ("missing",)], "object_id string")
-    have = spark.createDataFrame([("good", "good"), ("bad", "bad")], "object_id string, found_id string")
-    assert rows(relational.inventory(want, have)) == [("bad", "unreferenced"), ("missing", "missing")]
-    assert rows(relational.inventory(want, have, complete=False)) == [("missing", "missing")]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = spark.createDataFrame([(sha(b"good"),), (sha(b"missing"),)], "object_id string")
+    have = spark.createDataFrame([(sha(b"good"), bytearray(b"good")), (sha(b"bad"), bytearray(b"bad"))], "object_id string, bytes binary")
+    assert rows(relational.inventory(want, have)) == sorted([(sha(b"bad"), "unreferenced"), (sha(b"missing"), "missing")])
+    assert rows(relational.inventory(want, have, complete=False)) == [(sha(b"missing"), "missing")]
 
 
 def test_orphans_respect_grace_strictly_and_pins(spark):
@@ -143,10 +144,16 @@ def test_erasure_survives_its_losses(mode, n):
 def test_placement_and_repair(spark):
     with pytest.raises(ValueError, match="even"):
         placement.targets(F.lit("x"), "raid10", 3)
-    objects = spark.createDataFrame([("o1",), ("o2",)], "object_id string")
-    held = spark.createDataFrame([("o1", 0, "bad"), ("o1", 1, "o1"), ("o2", 0, "bad")], "object_id string, backend int, found_id string")
-    audit = placement.audit(objects, held, "raid1", 2)
-    assert rows(placement.repair_plan(audit)) == [("o1", 0, 1), ("o2", 0, None), ("o2", 1, None)]
+    o1, o2 = (hashlib.sha256(x).hexdigest() for x in (b"1", b"2"))
+    objects = spark.createDataFrame([(o1,), (o2,)], "object_id string")
+    held = spark.createDataFrame([(o1, 0, bytearray(b"x")), (o1, 1, bytearray(b"1")), (o2, 0, bytearray(b"y"))], "object_id string, backend int, bytes binary")
+    plan = placement.repair_plan(placement.audit(objects, held, "raid1", 2))
+    assert rows(plan) == sorted([(o1, 0, 1), (o2, 0, None), (o2, 1, None)], key=repr)
+    assert [(r.object_id, r.backend, bytes(r.bytes)) for r in placement.heal(plan, held).collect()] == [(o1, 0, b"1")]
+    assert placement.default_mode(None, 3) == "raid0" and placement.default_mode(None, 1) == "none"
+    for bad in (lambda: placement.default_mode("raid6", 2), lambda: placement.targets(F.lit("x"), "raid7", 3), lambda: placement.check_topology(2, 3)):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_extent_algebra(spark):

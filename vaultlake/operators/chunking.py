@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .content import whole
 
 SIZES = (16 << 10, 64 << 10, 256 << 10)
+BATCH_BYTES = 2 << 20
 
 
 @cache
@@ -55,14 +57,19 @@ def chunk(found: DataFrame, sizes: tuple[int, int, int] = SIZES) -> DataFrame:
     ship(found.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["inode", "offset", "plain_len", "plaintext_hash", "data"])
         for batch in batches:
             for inode, content in zip(batch.column("inode").to_pylist(), batch.column("content"), strict=True):
-                data, at, rows = (content.as_py() or b""), 0, []
+                data, at = (content.as_py() or b""), 0
                 for end in cut_points(data, *sizes):
                     rows.append((inode, at, end - at, hashlib.sha256(data[at:end]).hexdigest(), data[at:end]))
-                    at = end
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["inode", "offset", "plain_len", "plaintext_hash", "data"])
+                    held, at = held + end - at, end
+                    if held > BATCH_BYTES:
+                        yield flush()
+                        rows, held = [], 0
+        if rows:
+            yield flush()
 
     rows = found.select("inode", F.col("content").cast("binary").alias("content"))
     return rows.mapInArrow(run, "inode long, offset long, plain_len long, plaintext_hash string, data binary")
@@ -76,13 +83,5 @@ def ingest(chunks: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def assemble(extents: DataFrame, objects: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(inode, content binary): objects (object_id, data) placed at their offsets; bytes without an extent are zero.
-
-    One file's chunks meet in one row, as its content must; files are bounded, their number is not.
-    """
-    rows = extents.join(objects, "object_id").groupBy("inode").agg(F.array_sort(F.collect_list(F.struct("offset", "data"))).alias("parts"))
-    zeros = lambda n: F.unhex(F.repeat(F.lit("00"), F.greatest(n, F.lit(0)).cast("int")))
-    start = F.unhex(F.lit(""))
-    body = F.aggregate("parts", start, lambda a, x: F.concat(a, zeros(x["offset"] - F.octet_length(a)), x["data"]))
-    out = sizes.join(rows, "inode", "left").select("inode", "size", F.coalesce(F.when(F.col("parts").isNotNull(), body), start).alias("b"))
-    return out.select("inode", F.concat("b", zeros(F.col("size") - F.octet_length("b"))).alias("content"))
+    """(inode, content binary): objects (object_id, data) placed at their offsets; bytes without an extent are zero."""
+    return whole(extents, objects, sizes).select("inode", "content")

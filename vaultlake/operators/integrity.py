@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .placement import hashed
+
 
 def scrub(extents: DataFrame, stored: DataFrame) -> DataFrame:
-    """(object_id, status, files): each distinct object is read once: verified, corrupt or missing, and who refers to it."""
+    """(object_id, status, files): the bytes of each distinct object (object_id, bytes) are hashed once: verified, corrupt
+    or missing, and how many files refer to it."""
     used = extents.groupBy("object_id").agg(F.countDistinct("inode").alias("files"))
     status = F.when(F.col("found_id").isNull(), "missing").when(F.col("found_id") != F.col("object_id"), "corrupt").otherwise("verified")
-    return used.join(stored.select("object_id", "found_id"), "object_id", "left").select("object_id", status.alias("status"), "files")
+    return used.join(hashed(stored).select("object_id", "found_id"), "object_id", "left").select("object_id", status.alias("status"), "files")
 
 
 def verify_files(inodes: DataFrame, extents: DataFrame, scrubbed: DataFrame, incomplete: DataFrame) -> DataFrame:
@@ -45,8 +48,12 @@ def drop_range(extents: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def replace_range(extents: DataFrame, new: DataFrame, start: int, end: int) -> DataFrame:
-    """extents with those that begin in [start, end) replaced by new ones; keys that survive must not come again."""
-    return extents.where((F.col("offset") < start) | (F.col("offset") >= end)).unionByName(new)
+    """extents with those that begin in [start, end) replaced by new ones; a key that survives and comes again raises
+    when the result is read."""
+    left = extents.where((F.col("offset") < start) | (F.col("offset") >= end))
+    twice = left.select("inode", "offset", F.lit(True).alias("twice"))
+    checked = F.when(F.col("twice").isNull(), F.col("plain_len")).otherwise(F.raise_error(F.lit("an extent is there already")).cast("long"))
+    return left.unionByName(new.join(twice, ["inode", "offset"], "left").withColumn("plain_len", checked).select(*extents.columns))
 
 
 def punch(extents: DataFrame, start: int, end: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import is_regular
+from .placement import hashed
 
 
 def dedup_stats(found: DataFrame, inline_max: int = 4096) -> DataFrame:
@@ -59,8 +60,9 @@ def used_objects(*versions: DataFrame) -> DataFrame:
 
 
 def inventory(referenced: DataFrame, available: DataFrame, complete: bool = True) -> DataFrame:
-    """(object_id, status): missing, corrupt (stored bytes have another id), unreferenced if the listing is complete."""
-    both = referenced.select("object_id", F.lit(True).alias("wanted")).join(available.select("object_id", "found_id"), "object_id", "full_outer")
+    """(object_id, status) of objects available (object_id, bytes): missing, corrupt (the bytes have another id),
+    unreferenced if the listing is complete."""
+    both = referenced.select("object_id", F.lit(True).alias("wanted")).join(hashed(available).select("object_id", "found_id"), "object_id", "full_outer")
     status = F.when(F.col("found_id").isNull(), "missing").when(F.col("found_id") != F.col("object_id"), "corrupt")
     if complete:
         status = status.when(F.col("wanted").isNull(), "unreferenced")
@@ -109,10 +111,11 @@ def newest(rows: DataFrame, keep: int, order: list[Column], part: str | None = N
 
 
 def adopt(offers: DataFrame) -> DataFrame:
-    """Shared pool: of all offers of a content in a namespace the first wins and the others adopt its object."""
+    """Shared pool: of all offers of a content in a namespace the first by (seq, archive, object_id) wins and the others
+    adopt its object."""
     first = offers.groupBy("ns", "content_id").agg(F.min(F.struct("seq", "archive", "object_id")).alias("first"))
     out = offers.join(first, ["ns", "content_id"])
-    won = (F.col("seq") == F.col("first.seq")) & (F.col("archive") == F.col("first.archive"))
+    won = (F.col("seq") == F.col("first.seq")) & (F.col("archive") == F.col("first.archive")) & (offers["object_id"] == F.col("first.object_id"))
     return out.select("ns", "content_id", "archive", F.col("first.object_id").alias("object_id"), F.when(won, "published").otherwise("adopted").alias("outcome"))
 
 

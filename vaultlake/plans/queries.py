@@ -291,7 +291,7 @@ def replicate_repair(spark, sf_dir):
 
 @query(f", {_AUDIT} SELECT object_id, min(CASE WHEN status = 'verified' THEN backend END) backend, coalesce(min(CASE WHEN status = 'verified' THEN backend END), -1) <> 0 needs_heal FROM au GROUP BY object_id")
 def replica_read(spark, sf_dir):
-    return placement.read_from(_audit(spark, sf_dir), "raid1", 4)
+    return placement.read_from(_audit(spark, sf_dir))
 
 
 _SCRUB = "sc AS (SELECT u.object_id, CASE WHEN found_id IS NULL THEN 'missing' WHEN found_id <> u.object_id THEN 'corrupt' ELSE 'verified' END status, files FROM (SELECT object_id, count(DISTINCT inode)::BIGINT files FROM f WHERE size > 4096 GROUP BY object_id) u LEFT JOIN (SELECT * FROM rp WHERE backend = 1) r ON r.object_id = u.object_id)"
@@ -411,7 +411,7 @@ def bundle_check(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     state = F.when(~scalars.object_id_valid(F.col("object_id")), "bad id").when(F.col("found_id") != F.col("object_id"), "object hash").otherwise("ok")
     copies = archive.files(docs).groupBy("object_id").agg(F.count("*").alias("n")).where("n > 1")
-    return archive.replicas(docs).select("object_id", "backend", state.alias("status")).union(copies.select("object_id", F.lit(-1), F.lit("duplicate id")))
+    return placement.hashed(archive.replicas(docs)).select("object_id", "backend", state.alias("status")).union(copies.select("object_id", F.lit(-1), F.lit("duplicate id")))
 
 
 SECRET = b"an archive secret of 32 bytes..."

@@ -84,7 +84,9 @@ def snapshots(orders: DataFrame) -> DataFrame:
 
 
 def replicas(docs: DataFrame, backends: int = 4) -> DataFrame:
-    """(object_id, backend, found_id): stored copies, some missing, some with other bytes than their id says."""
-    ids = files(docs).select("object_id").distinct().select("object_id", F.explode(F.sequence(F.lit(0), F.lit(backends - 1))).alias("backend"))
+    """(object_id, backend, bytes): stored copies, some missing, some with other bytes than their id says."""
+    held = files(docs).groupBy("object_id").agg(F.first("content").alias("content"))
+    ids = held.select("object_id", "content", F.explode(F.sequence(F.lit(0), F.lit(backends - 1))).alias("backend"))
     roll = bucket_of(F.concat("object_id", F.lit("@"), F.col("backend").cast("string")), 11)
-    return ids.withColumn("roll", roll).where("roll <> 0").select("object_id", "backend", F.when(F.col("roll") == 1, F.sha2("object_id", 256)).otherwise(F.col("object_id")).alias("found_id"))
+    damaged = F.when(F.col("roll") == 1, F.concat(F.col("content"), F.lit(" damaged"))).otherwise(F.col("content"))
+    return ids.withColumn("roll", roll).where("roll <> 0").select("object_id", "backend", damaged.cast("binary").alias("bytes"))

@@ -7,8 +7,6 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relational import insert_or_ignore
-
 
 def drain(queue: DataFrame, upload: Callable[[DataFrame], None], checkpoint: str, interval: str | None = None):
     """Start uploading a stream of queued objects (object_id, added_at), each once a batch, in the order they came.
@@ -35,7 +33,7 @@ def uploader(store: str) -> Callable[[DataFrame], None]:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             known = df.limit(0)
-        insert_or_ignore(known, df, "object_id").join(known.select("object_id"), "object_id", "left_anti").write.mode("append").parquet(store)
+        df.join(known.select("object_id"), "object_id", "left_anti").write.mode("append").parquet(store)
 
     return upload
 
