@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests, scalars
-from ..operators import chunking, erasure, integrity, placement, relational, sealing, tree, versions, writes
+from ..operators import chunking, content, erasure, integrity, metadata, placement, relational, sealing, snapshots, tree, versions, writes
+from ..tables import cut, shared_dir
 from ..sources import archive
 from ..sources.archive import NOW, table
 
@@ -472,3 +474,192 @@ def write_algebra(spark, sf_dir):
     ops = found.select("inode", F.explode(F.array(op(0, "truncate", None, F.least("size", F.lit(100))), op(1, "write", "changed", F.lit(0)))).alias("o")).select("inode", "o.*")
     out = writes.apply(found, ops)
     return out.select("inode", F.octet_length("content").cast("long").alias("bytes"), (F.substring("content", 1, 7) == F.lit("changed").cast("binary")).alias("ok"))
+
+
+# Lookups, changes, contents and snapshots
+
+_IDS = "ids AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + 1048576 ELSE -doc_id - 5 END id FROM documents)"
+
+
+def _ids(spark, sf_dir):
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(F.when(d % 3 == 0, d + archive.FILE_BASE).otherwise(-d - 5).alias("id"))
+
+
+@query(f", {_IDS} SELECT id, mode, size, mtime, object_id file_digest FROM ids LEFT JOIN f ON inode = id")
+def inode_lookup(spark, sf_dir):
+    nodes, _ = archive.tree(_files(spark, sf_dir))
+    return metadata.get_inodes(nodes, _ids(spark, sf_dir))
+
+
+@query("SELECT dd.id parent_inode, doc_id || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.no' END AS name, CASE WHEN doc_id % 3 = 0 THEN inode END inode_id FROM f JOIN dd ON dd.dir = regexp_extract(path, '^(.*)/[^/]*$', 1)")
+def dentry_lookup(spark, sf_dir):
+    found = _files(spark, sf_dir)
+    _, edges = archive.tree(found)
+    doc = F.col("inode") - archive.FILE_BASE
+    asked = found.select(archive.dir_id(F.regexp_extract("path", "^(.*)/[^/]*$", 1)).alias("parent_inode"), F.concat(doc.cast("string"), F.when(doc % 3 == 0, ".txt").otherwise(".no")).alias("name"))
+    return metadata.dentry_inodes(edges, asked)
+
+
+@query(f", {_IDS} SELECT ids.id, coalesce(dd.id, 1) parent_inode, CASE WHEN doc_id % 10 = 0 THEN doc_id || '.lnk' ELSE coalesce(doc_id || '.txt', '') END AS name FROM ids LEFT JOIN f ON inode = ids.id LEFT JOIN dd ON dd.dir = regexp_extract(path, '^(.*)/[^/]*$', 1)")
+def parent_and_name(spark, sf_dir):
+    _, edges = _linked_tree(spark, sf_dir)
+    return metadata.placed(edges, _ids(spark, sf_dir))
+
+
+@query('SELECT DISTINCT object_id, inode FROM e WHERE object_id IN (SELECT sha256(p_partkey::VARCHAR) FROM part WHERE p_size = 7)')
+def inodes_using_chunk(spark, sf_dir):
+    wanted = table(spark, sf_dir, "part").where("p_size = 7").select(F.sha2(F.col("p_partkey").cast("string"), 256).alias("object_id"))
+    return metadata.inodes_using(_extents(spark, sf_dir), wanted)
+
+
+@query("SELECT i.object_id, c.object_id IS NOT NULL present, coalesce(c.size % 2 = 0, false) AS domain FROM (SELECT DISTINCT object_id FROM f2) i LEFT JOIN c ON c.object_id = i.object_id")
+def chunk_exists(spark, sf_dir):
+    index = archive.chunk_index(table(spark, sf_dir, "documents")).withColumn("domain", F.col("size") % 2 == 0)
+    return metadata.object_flags(index, _files(spark, sf_dir, 2).select("object_id").distinct())
+
+
+@query("SELECT f2.path, f2.object_id plaintext_hash, m.o object_id FROM f2 LEFT JOIN (SELECT object_id, min(inode::VARCHAR) o FROM f GROUP BY object_id) m ON m.object_id = f2.object_id")
+def dedup_lookup(spark, sf_dir):
+    index = _files(spark, sf_dir).select(F.col("object_id").alias("plaintext_hash"), F.col("inode").cast("string").alias("object_id"))
+    return metadata.by_content(index, _files(spark, sf_dir, 2).select("path", F.col("object_id").alias("plaintext_hash")))
+
+
+@query("""SELECT e.inode, e.name, CASE WHEN e.there AND e.flag = 'create' THEN 'exists' WHEN NOT e.there AND e.flag = 'replace' THEN 'absent'
+WHEN NOT e.there AND 1020 + row_number() OVER (PARTITION BY inode, NOT there AND flag <> 'replace' ORDER BY name) > 1024 THEN 'too_many' ELSE 'set' END status
+FROM (SELECT user_id inode, event_id::VARCHAR AS name, event_id % 4 = 0 there, ['any', 'create', 'replace'][event_id % 3 + 1] flag FROM events) e""")
+def xattr_set(spark, sf_dir):
+    """Every user has 1020 attributes besides a quarter of its events' names, so that few new ones fit."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("inode"), F.col("event_id").cast("string").alias("name"), F.col("event_id"))
+    have = events.where("event_id % 4 = 0").select("inode", "name", F.lit(b"v").alias("value"))
+    filler = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1020) - F.col("n"), F.lit(0)).cast("int"))).alias("k")
+    counts = events.groupBy("inode").agg(F.count_if(F.col("event_id") % 4 == 0).alias("n"))
+    have = have.unionByName(counts.where("n < 1020").select("inode", filler).select("inode", F.concat(F.lit("fill"), F.col("k").cast("string")).alias("name"), F.lit(b"v").alias("value")))
+    flag = F.array(F.lit("any"), F.lit("create"), F.lit("replace"))[(F.col("event_id") % 3).cast("int")]
+    return metadata.set_xattrs(have, events.select("inode", "name", F.lit(b"w").alias("value"), flag.alias("flag")))[1]
+
+
+@query("SELECT inode id, CASE WHEN doc_id % 4 = 0 THEN 33152 ELSE mode END::BIGINT mode, CASE WHEN doc_id % 6 = 0 THEN 7 ELSE size END::BIGINT size, mtime FROM f UNION ALL SELECT id, 16877, 4096, 1700000000 FROM dd")
+def attribute_update(spark, sf_dir):
+    nodes, _ = archive.tree(_files(spark, sf_dir))
+    d = F.col("doc_id")
+    changes = table(spark, sf_dir, "documents").select((d + archive.FILE_BASE).alias("id"), F.when(d % 4 == 0, archive.FILE_MODE - 36).cast("long").alias("mode"), F.when(d % 6 == 0, 7).cast("long").alias("size"))
+    return metadata.update(nodes, changes, ["id"]).select("id", "mode", "size", "mtime")
+
+
+@query("""SELECT inode inode_id, CASE WHEN doc_id % 20 = 0 THEN 1 WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END::BIGINT nlink FROM f WHERE path NOT LIKE '/de/%' AND doc_id % 5 <> 1""")
+def unlink_names(spark, sf_dir):
+    """Names of one file in five, second names of one in twenty and the folder /de go; the files that are left, with links."""
+    nodes, edges = _linked_tree(spark, sf_dir)
+    doc = F.col("inode_id") - archive.FILE_BASE
+    files_ = edges.where(F.col("name").rlike("[.](txt|lnk)$"))
+    gone = files_.where(((doc % 5 == 1) & F.col("name").endswith(".txt")) | ((doc % 20 == 0) & F.col("name").endswith(".lnk"))).unionByName(edges.where("name = 'de'"))
+    left, _ = metadata.unlink({"inodes": nodes, "dentries": edges}, gone.select("parent_inode", "name", F.lit(False).alias("only_empty")))
+    return metadata.with_links(left["inodes"], left["dentries"]).where(F.col("id").between(archive.FILE_BASE, (1 << 60))).select(F.col("id").alias("inode_id"), "nlink")
+
+
+@query("""SELECT CASE WHEN path LIKE '/de/%' THEN '/en/moved' || substr(path, 4) ELSE path END path, inode inode_id FROM f
+UNION ALL SELECT CASE WHEN dir = '/de' OR dir LIKE '/de/%' THEN '/en/moved' || substr(dir, 4) ELSE dir END, id FROM dd WHERE dir <> ''""")
+def rename_folder(spark, sf_dir):
+    nodes, edges = archive.tree(_files(spark, sf_dir))
+    en = spark.range(1).select(archive.dir_id(F.lit("/en"))).first()[0]
+    tables, status = metadata.rename({"inodes": nodes, "dentries": edges}, (archive.ROOT, "de"), (en, "moved"))
+    if status != "renamed":
+        raise ValueError(status)
+    return tree.walk(tables["dentries"]).select("path", "inode_id")
+
+
+@query("""SELECT doc_id, doc_id || '.txt' AS name, 1 + (SELECT max(id) FROM (SELECT inode id FROM f UNION ALL SELECT id FROM dd)) + row_number() OVER (ORDER BY doc_id || '.new') - 1 inode_id FROM f WHERE doc_id % 9 = 0""")
+def insert_entries(spark, sf_dir):
+    """New files in the root folder, numbered on from the largest inode."""
+    nodes, edges = archive.tree(_files(spark, sf_dir))
+    d = F.col("doc_id")
+    new = table(spark, sf_dir, "documents").where("doc_id % 9 = 0").select(F.lit(1).cast("long").alias("parent_inode"), F.concat(d.cast("string"), F.lit(".new")).alias("name"), F.lit(archive.FILE_MODE).cast("long").alias("mode"), F.lit(0).cast("long").alias("size"), F.lit(archive.NOW).cast("long").alias("mtime"), F.lit(None).cast("string").alias("file_digest"))
+    _, out = metadata.insert_nodes(nodes, edges, new)
+    doc = F.regexp_extract("name", "^(.*)[.]new$", 1)
+    return out.where(F.col("name").endswith(".new")).select(doc.cast("long").alias("doc_id"), F.concat(doc, F.lit(".txt")).alias("name"), "inode_id")
+
+
+@query("""SELECT object_id, 'removed' AS outcome FROM c WHERE created_at < 1700000000 - 2 * 3600 AND object_id NOT IN (SELECT object_id FROM f WHERE doc_id % 7 <> 0) AND object_id NOT IN (SELECT object_id FROM f WHERE doc_id % 14 = 0)
+  AND object_id NOT IN (SELECT object_id FROM f WHERE doc_id % 21 = 0)
+UNION ALL SELECT DISTINCT object_id, 'local orphan' FROM f2 WHERE object_id NOT IN (SELECT object_id FROM c)
+UNION ALL SELECT object_id, 'local orphan' FROM c WHERE created_at < 1700000000 - 2 * 3600 AND object_id NOT IN (SELECT object_id FROM f WHERE doc_id % 7 <> 0) AND object_id NOT IN (SELECT object_id FROM f WHERE doc_id % 14 = 0)
+  AND object_id NOT IN (SELECT object_id FROM f WHERE doc_id % 21 = 0)""")
+def gc(spark, sf_dir):
+    """What neither live files, a snapshot nor the queue holds leaves the index; then what no table names is a local orphan."""
+    docs = table(spark, sf_dir, "documents")
+    part = lambda rule: archive.files(docs.where(rule)).select("object_id")
+    stored = archive.chunk_index(docs).select("object_id").union(_files(spark, sf_dir, 2).select("object_id"))
+    _, removed, local = metadata.collect_garbage(archive.chunk_index(docs), part("doc_id % 7 <> 0"), part("doc_id % 21 = 0"), part("doc_id % 14 = 0"), stored, NOW, 2)
+    return removed.select("object_id", F.lit("removed").alias("outcome")).union(local.select("object_id", F.lit("local orphan")))
+
+
+def _chunked(spark, sf_dir):
+    """(extents, objects, sizes) of all files, cut by small sizes so that files have several extents."""
+    found = _files(spark, sf_dir)
+    chunks = cut(chunking.chunk(found, (256, 1024, 4096)))
+    extents = chunks.select("inode", "offset", "plain_len", F.col("plaintext_hash").alias("object_id"))
+    return extents, chunks.groupBy(F.col("plaintext_hash").alias("object_id")).agg(F.first("data").alias("data")), found.select("inode", "size")
+
+
+@query("SELECT inode, sha256(content || '|' || size) AS digest, 'ok' status, CASE WHEN doc_id % 6 = 0 THEN 'missing_digest' WHEN doc_id % 6 = 1 THEN 'changed' ELSE 'verified' END outcome FROM f")
+def file_digests(spark, sf_dir):
+    """Digests of whole files from their extents, held against what is noted for them."""
+    found = cut(content.digests(*_chunked(spark, sf_dir)))
+    doc = F.col("inode") - archive.FILE_BASE
+    noted = F.when(doc % 6 == 1, F.sha2(F.lit("other"), 256)).when(doc % 6 != 0, content.inline_digest(F.col("content")))
+    outcomes = content.verify(found, _files(spark, sf_dir).select("inode", noted.alias("file_digest")))
+    return found.join(outcomes, "inode").select("inode", "digest", "status", "outcome")
+
+
+@query("SELECT inode, start, upper(substr(hex(encode(content)), (2 * start + 1)::INTEGER, 1400)) bytes FROM f, (VALUES (0::BIGINT), (300::BIGINT), (5000::BIGINT)) t(start)")
+def read_ranges(spark, sf_dir):
+    """700 bytes of each file from three places, over the edges of its extents and its end."""
+    extents, objects, sizes = _chunked(spark, sf_dir)
+    starts = F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 300, 5000)])).alias("start")
+    out = content.read(extents, objects, sizes, sizes.select("inode", starts, F.lit(700).cast("long").alias("length")))
+    return out.select("inode", "start", F.hex("content").alias("bytes"))
+
+
+@query("""SELECT '/' || path AS path, inode inode_id, 'found' status FROM f WHERE doc_id % 3 = 0 UNION ALL SELECT path || '/x', NULL, 'missing' FROM f WHERE doc_id % 3 = 1
+UNION ALL SELECT '/..' || path, NULL, 'unsafe' FROM f WHERE doc_id % 3 = 2""")
+def path_resolution(spark, sf_dir):
+    found = _files(spark, sf_dir)
+    _, edges = archive.tree(found)
+    doc = F.col("inode") - archive.FILE_BASE
+    asked = found.select(F.when(doc % 3 == 0, F.concat(F.lit("/"), "path")).when(doc % 3 == 1, F.concat("path", F.lit("/x"))).otherwise(F.concat(F.lit("/.."), "path")).alias("path"))
+    return tree.resolve(tree.walk(edges), asked)
+
+
+@query("SELECT path, inode inode_id, size FROM f UNION ALL SELECT 'root is kept', NULL, (SELECT count(*) FROM f)")
+def snapshot_restore(spark, sf_dir):
+    """The first version's files are written as a snapshot, the second version comes, and the snapshot is restored."""
+    store = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    state = lambda version: dict(zip(("inodes", "dentries"), archive.tree(_files(spark, sf_dir, version)), strict=True))
+    none = spark.createDataFrame([], "id long, name string, timestamp long, tree_root string")
+    tables = snapshots.create(state(1) | {"snapshots": none}, store, "first", NOW)
+    live = snapshots.restore(tables | state(2), store, 1)
+    kept = snapshots.verify(live, store, 1) and live["snapshots"].count() == 1
+    walked = tree.walk(live["dentries"]).join(live["inodes"].where("file_digest IS NOT NULL").select(F.col("id").alias("inode_id"), "size"), "inode_id")
+    files_ = cut(walked.select("path", "inode_id", "size"))
+    snapshots.delete(live, store, [1])
+    return files_.union(files_.agg(F.lit("root is kept" if kept else "root is lost"), F.lit(None).cast("long"), F.count("*")))
+
+
+@query("SELECT archive, max(id) id FROM sn GROUP BY archive")
+def newest_snapshot(spark, sf_dir):
+    return snapshots.newest(_snapshots(spark, sf_dir))
+
+
+@query("SELECT row_number() OVER (ORDER BY uri) + 3 id, uri FROM (SELECT DISTINCT 's3a://' || o_custkey % 40 uri FROM orders) WHERE uri NOT IN ('s3a://1', 's3a://2', 's3a://3') UNION ALL SELECT * FROM (VALUES (1, 's3a://1'), (2, 's3a://2'), (3, 's3a://3'))")
+def backend_registry(spark, sf_dir):
+    have = spark.createDataFrame([(i, f"s3a://{i}") for i in (1, 2, 3)], "id long, uri string")
+    return metadata.add_backends(have, table(spark, sf_dir, "orders").select(F.concat(F.lit("s3a://"), (F.col("o_custkey") % 40).cast("string")).alias("uri")))
+
+
+@query("SELECT object_id, n - 1 AS place FROM (SELECT object_id, row_number() OVER (ORDER BY min(mtime), object_id) n FROM f GROUP BY object_id)")
+def upload_queue_fifo(spark, sf_dir):
+    from ..tables import number
+
+    queue = _files(spark, sf_dir).groupBy("object_id").agg(F.min("mtime").alias("added_at"))
+    return number(queue, "added_at", "object_id", name="place").select("object_id", "place")
