@@ -125,15 +125,16 @@ def small_batches(spark: SparkSession, rows: int = 10_000) -> None:
             spark.conf.set(key, str(most))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(a long, b long) edges -> (node, component): the smallest node reachable, for each node on an edge.
+def connected_components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
+    """(a long, b long) edges -> (node, component): the smallest node reachable, for each node on an edge. nodes: about
+    how many nodes there are, if known, by which the first table's files are sized.
 
     Alternates large-star and small-star steps (Kiveris et al., SoCC 2014) until the edges form stars. Each step is
     a grouped minimum, combined before its shuffle, and an equi-join that adaptive execution splits where one node
     has many edges. The driver sees only a count and a checksum a round. Empty input gives an empty result.
     """
     a, b = F.col("a"), F.col("b")
-    now = materialize(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    now = materialize(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), nodes)
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -87,8 +87,15 @@ class Index:
         entries = self._sorted(rows.groupBy("digest").agg(*self._winner(F.count("*"))), n)
         self._push(Run(entries, self._filter(entries), entries.count()), 0)
 
-    def _sorted(self, entries: DataFrame, n: int) -> DataFrame:
-        return materialize(entries.coalesce(max(LEAST_FILES, -(-n // ROWS_A_FILE))).sortWithinPartitions("digest"))
+    def add_all(self, rows: DataFrame, n: int) -> None:
+        """Flush several memtables of n rows (memtable, digest, doc_id, row) at once, one run each."""
+        found = self._sorted(rows.groupBy("memtable", "digest").agg(*self._winner(F.count("*"))), n, "memtable")
+        for r in sorted(tuple(r) for r in found.groupBy("memtable").count().collect()):  # one row a memtable
+            entries = found.where(F.col("memtable") == r[0]).drop("memtable")
+            self._push(Run(entries, self._filter(entries), r[1]), 0)
+
+    def _sorted(self, entries: DataFrame, n: int, *first: str) -> DataFrame:
+        return materialize(entries.coalesce(max(LEAST_FILES, -(-n // ROWS_A_FILE))).sortWithinPartitions(*first, "digest"))
 
     def _push(self, run: Run, level: int) -> None:
         if level == len(self.levels):
@@ -135,22 +142,22 @@ class Index:
     def whole(self) -> DataFrame:
         """(digest, n, doc_id, row) of all digests, after compacting what runs there are, one or more, into one."""
         runs = [r for level in self.levels for r in level]
+        if not runs:
+            raise ValueError("an index without runs")
         if len(runs) > 1:
             runs = [self._compact(runs)]
             self.levels = [*([] for _ in self.levels), runs]
         return runs[0].entries.select("digest", "n", "doc_id", "row")
 
 
-def index_rows(docs: DataFrame, keep: str = "max", digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
-    """(rows, hits): (digest, sha, doc_id, row) of all docs, where row tells equal rows apart, and the index's entries
-    (digest, n, doc_id, row) for digests held by more than one row."""
-    rows = docs.select(digest(body()).alias("digest"), sha256(body()).alias("sha"), "doc_id", F.monotonically_increasing_id().alias("row"))
-    rows = materialize(rows)
-    total = rows.count()
+def hits_of(rows: DataFrame, total: int, keep: str = "max") -> DataFrame:
+    """(digest, n, doc_id, row) for the digests that more than one of `total` rows (digest, doc_id, row) holds.
+
+    Rows are dealt to MEMTABLES, whose runs are flushed by one job; the index then compacts them.
+    """
     index = Index(total, keep)
-    for k in range(MEMTABLES):
-        index.add(rows.where(F.col("row") % MEMTABLES == k), -(-total // MEMTABLES))
-    return rows, materialize(index.whole().where("n > 1"))
+    index.add_all(rows.withColumn("memtable", F.col("row") % MEMTABLES), total)
+    return materialize(index.whole().where("n > 1"), total)
 
 
 def rows_of_hits(docs: DataFrame, hits: DataFrame, n_hits: int, digest: Callable[[Column], Column]) -> DataFrame:
@@ -170,7 +177,9 @@ def dedup(docs: DataFrame, keep: str = "max", digest: Callable[[Column], Column]
     share a digest (with SHA-256 they do not), their groups are formed by the texts themselves.
     """
     docs = docs.select("doc_id", "text")
-    rows, hits = index_rows(docs, keep, digest)
+    rows = materialize(docs.select(digest(body()).alias("digest"), sha256(body()).alias("sha"), "doc_id", F.monotonically_increasing_id().alias("row")))
+    total = rows.count()
+    hits = hits_of(rows.drop("sha"), total, keep) if total else rows
     n_hits = hits.count()
     if not n_hits:
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
@@ -208,8 +217,11 @@ def drop_copies(docs: DataFrame, keep: str = "max", digest: Callable[[Column], C
 
 def _drop_copies(docs: DataFrame, keep: str, digest: Callable[[Column], Column]) -> DataFrame:
     names = docs.columns
-    rows, hits = index_rows(docs.select("doc_id", "text"), keep, digest)
-    discard(rows)
+    total = docs.count()
+    if not total:
+        return docs
+    rows = docs.select(digest(body()).alias("digest"), "doc_id", F.monotonically_increasing_id().alias("row"))
+    hits = hits_of(rows, total, keep)
     n_hits = hits.count()
     if not n_hits:
         return docs

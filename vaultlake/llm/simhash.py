@@ -170,8 +170,8 @@ class _Lists:
             yield self._out(np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), False)
 
 
-def links(marks: DataFrame, limit: int = LIST) -> DataFrame:
-    """(a, b): edges among the distinct fp of marks whose connected parts are those of all pairs at DISTANCE or less.
+def links(marks: DataFrame, limit: int = LIST, total: int | None = None) -> DataFrame:
+    """(a, b): edges among the distinct fp of marks, at most `total` if that is known, whose connected parts are those of all pairs at DISTANCE or less.
 
     A key's list is linked in one task by spanning stars, not by all its pairs. A list longer than `limit` is not held:
     its members go to a second index in which each is under every value at two or fewer flipped bits. Any two
@@ -179,7 +179,7 @@ def links(marks: DataFrame, limit: int = LIST) -> DataFrame:
     """
     rows = index(marks)
     found = rows.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_Lists(limit, False), "a long, b long, long boolean")
-    found = materialize(found)
+    found = materialize(found, None if total is None else 70 * total)
     edges = found.where("not long").select("a", "b").distinct()
     crowd = found.where("long").select(F.col("a").alias("fp")).distinct()
     if crowd.isEmpty():
@@ -211,7 +211,7 @@ def groups(marks: DataFrame, first: Column, total: int) -> DataFrame:
     """(fp, n, first): for each distinct fp of marks (of total rows) its rows, and the least `first` over all rows whose fp
     is reachable."""
     known = materialize(marks.groupBy("fp").agg(F.count("*").alias("n"), F.min(first).alias("first")), total)
-    parts = materialize(connected_components(links(known.select("fp"))).withColumnRenamed("node", "fp"), total)
+    parts = materialize(connected_components(links(known.select("fp"), total=total), total).withColumnRenamed("node", "fp"), total)
     least = parts.join(known.select("fp", "first"), "fp").groupBy("component").agg(F.count("*").alias("n"), F.min("first").alias("least"))
     near = _join_hot(parts, materialize(least, total), "component", parts.count()).select("fp", "least")
     return materialize(known.join(near, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("first")), total)
