@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultlake.operators import content, ingest, integrity, metadata, pool, sealing, snapshots, tree
-from vaultlake.sources import archive, stores
+from vaultlake.sources import archive, index_sync, stores
 from vaultlake.streaming import jobs
 from vaultlake.tables import number
 
@@ -257,3 +257,127 @@ def test_buffered_writes(spark, tmp_path):
     finally:
         query.stop()
     assert got == want
+
+
+@pytest.fixture
+def state(spark):
+    """Files with contents: the folder /a/b holds f, whose second name is /g."""
+    data = {10: b"first file", 11: b"", 12: b"x" * 700}
+    put = lambda b: hashlib.sha256(b + b"|%d" % len(b)).hexdigest()
+    nodes = [(1, DIR, 0, None), (2, DIR, 0, None), (3, DIR, 0, None), *[(i, FILE, len(b), put(b)) for i, b in data.items()], (13, FILE, 0, None)]
+    names = [(1, "a", 2), (2, "b", 3), (3, "f", 10), (1, "g", 10), (1, "h", 11), (2, "i", 12), (2, "j", 13)]
+    return {
+        "inodes": spark.createDataFrame(nodes, "id long, mode long, size long, file_digest string"),
+        "dentries": spark.createDataFrame(names, "parent_inode long, name string, inode_id long"),
+        "file_chunks": spark.createDataFrame([(i, 0, sha(b), len(b)) for i, b in data.items() if b], "inode long, offset long, object_id string, plain_len long"),
+        "snapshots": spark.createDataFrame([], "id long, name string, timestamp long, tree_root string"),
+        "snapshot_controls": spark.createDataFrame([], "snapshot_id long, protected boolean, tags_json string"),
+        "config": spark.createDataFrame([("k", "v")], "key string, value string"),
+    }, spark.createDataFrame([(sha(b), bytearray(b)) for b in data.values()], "object_id string, data binary")
+
+
+def test_partial_restore(spark, state, tmp_path):
+    tables, objects = state
+    tables["inodes"] = tables["inodes"].where("id <> 13")
+    tables["dentries"] = tables["dentries"].where("inode_id <> 13")
+    after = snapshots.create(tables, f"{tmp_path}/s", "one", 1)
+    root = after["snapshots"].first().tree_root
+    ask = spark.createDataFrame([("a/b/f",), ("/g",), ("/h",), ("/a",), ("/no",), ("/a/../g",), ("/g",)], "path string")
+    get = lambda frozen, objects, root: {r.path: (r.content and bytes(r.content), r.status) for r in snapshots.restore_paths(frozen, objects, root, ask).collect()}
+    got = get(tables, objects, root)
+    assert got == {"a/b/f": (b"first file", "ok"), "/g": (b"first file", "ok"), "/h": (b"", "ok"), "/a": (None, "not a file"), "/no": (None, "missing"), "/a/../g": (None, "missing")}
+    # another mode of another file is a change that the root does not prove; damaged bytes are told first
+    moved = tables | {"inodes": tables["inodes"].withColumn("mode", F.when(F.col("id") == 12, FILE + 1).otherwise(F.col("mode")))}
+    damaged = objects.withColumn("data", F.when(F.col("object_id") == sha(b"first file"), F.lit(bytearray(b"fIrst file"))).otherwise(F.col("data")))
+    got = get(moved, damaged, root)
+    assert got["a/b/f"] == got["/g"] == (None, "digest") and got["/h"] == (None, "not proved")
+    for checkpoint, why in ((None, "no_checkpoint"), ((2, root), "rolled_back"), ((1, "x"), "tampered")):
+        with pytest.raises(ValueError, match=why):
+            snapshots.restore_from(after, f"{tmp_path}/s", 1, checkpoint, objects, ask)
+
+
+def test_history_and_plans(spark, state, tmp_path):
+    tables, _ = state
+    tables = tables | {"snapshots": spark.createDataFrame([(i, f"n{i}", i, None) for i in (3, 1, 2)], tables["snapshots"].schema)}
+    tables, archive_id, revision, found = snapshots.history(tables, "id")
+    assert (archive_id, revision, [r.name for r in found.collect()]) == ("id", 0, ["n1", "n2", "n3"]) and snapshots.history(tables, "other")[1] == "id"
+    tables = snapshots.set_controls(tables, spark.createDataFrame([(2, True, None)], "snapshot_id long, protected boolean, tags_json string"))
+    tables = snapshots.set_controls(tables, spark.createDataFrame([(2, None, '["x"]')], "snapshot_id long, protected boolean, tags_json string"))
+    assert rows(snapshots.controls(tables)) == [(1, False, []), (2, True, ["x"]), (3, False, [])] and snapshots.revision(tables["config"]) == 2
+    with pytest.raises(ValueError, match="unknown snapshot id 9"):
+        snapshots.set_controls(tables, spark.createDataFrame([(9, True, None)], "snapshot_id long, protected boolean, tags_json string"))
+    plan = lambda *a, **k: snapshots.apply_plan(tables, f"{tmp_path}/s", *a, **k)[1]
+    assert plan("id", 1, [1]) == "STALE_HISTORY" and plan("no", 2, [1]) == "WRONG_ARCHIVE" and plan("id", 2, [1, 2]) == "SNAPSHOT_PROTECTED" and plan("id", 2, []) == "NOOP"
+    tables, outcome = snapshots.apply_plan(tables, f"{tmp_path}/s", "id", 2, [1, 3])
+    assert outcome == "APPLIED" and [r.id for r in tables["snapshots"].collect()] == [2] and snapshots.revision(tables["config"]) == 3
+    with pytest.raises(ValueError):
+        snapshots.revision(spark.createDataFrame([(snapshots.REVISION, "x")], "key string, value string"))
+    known = spark.createDataFrame([("a", 9, "r"), ("b", 1, "s")], "archive string, seq long, root string")
+    assert rows(snapshots.anchor(known, "a", 2, "t")) == [("a", 2, "t"), ("b", 1, "s")]
+    with pytest.raises(ValueError):
+        snapshots.anchor(known, "a", 2, None)
+    copied = snapshots.copy(tables, f"{tmp_path}/copy")
+    assert copied["snapshots"].isEmpty() and rows(copied["dentries"]) == rows(tables["dentries"])
+
+
+def test_index_sync(spark, tmp_path):
+    rows_ = [(i, f"line\n{i}" if i % 3 else None, bytearray([i % 256])) for i in range(9000)]
+    tables = {"t": spark.createDataFrame(rows_, "id long, text string, data binary").withColumn("at", F.timestamp_micros(F.col("id") * 1001)), "none": spark.createDataFrame([], "x long")}
+    a, b, key = stores.Store(spark, f"{tmp_path}/a"), stores.Store(spark, f"{tmp_path}/b"), bytes(32)
+    assert index_sync.sync(tables, [a, b], key) == 1 and a.read().count() == 4 and index_sync.sync(tables, [a, b], key) is None
+    more = tables | {"t": tables["t"].where("id <> 77")}
+    assert index_sync.sync(more, [a, b], key) == 2 and a.read().count() == 5
+    back = index_sync.restore(spark, [stores.Store(spark, f"{tmp_path}/c"), b], key)
+    assert rows(back["t"].select("id", "text", "data", "at")) == rows(more["t"]) and back["none"].isEmpty()
+
+    class Broken(stores.Store):
+        def upload(self, objects):
+            raise OSError
+
+    with pytest.raises(OSError):  # no manifest names what was not uploaded
+        index_sync.sync(tables, [a, Broken(spark, f"{tmp_path}/d")], key)
+    assert index_sync.versions(a) == [2, 1] and index_sync.versions(stores.Store(spark, f"{tmp_path}/d")) == []
+    with pytest.raises(ValueError, match="no store"):
+        index_sync.restore(spark, [a, b], bytes([1]) * 32)
+    for stamp in (5, 7, 6, 10):
+        left = index_sync.backup({"t": tables["t"]}, f"{tmp_path}/idx", stamp, keep=2)
+    assert left == ["idx.indexbak.10", "idx.indexbak.7"] and not (tmp_path / "idx.indexbak.5").exists()
+
+
+def test_shared_pool(spark, tmp_path):
+    key = bytes(range(32))
+    shared = stores.SharedPool(spark, f"{tmp_path}/pool", "ns", key)
+
+    def offers(*rows_, seed):
+        plain = spark.createDataFrame([(c, a, s, sha(t), len(t), bytearray(t)) for c, a, s, t in rows_], "content_id string, archive int, seq int, plaintext_hash string, plain_len long, data binary")
+        sealed = pool.seal_shared(sealing.compress(plain), key, key, key_seed=seed)
+        return sealed.select("content_id", "archive", "seq", "object_id", F.col("sealed").alias("bytes"), F.col("shared_record").alias("record"), "plaintext_hash")
+
+    text, other = b"a text " * 30, b"another " * 30
+    one = shared.publish(offers(("c", 1, 2, text), ("c", 2, 1, text), ("d", 1, 1, other), seed="s"))
+    assert {(r.content_id, r.archive): r.outcome for r in one.collect()} == {("c", 1): "adopted", ("c", 2): "published", ("d", 1): "published"}
+    two = shared.publish(offers(("c", 3, 0, text), ("d", 3, 0, text), seed="t"))  # d claims the identity of another plaintext
+    assert {r.content_id: r.outcome for r in two.collect()} == {"c": "adopted", "d": "refused"}
+    assert {r.object_id for r in one.union(two).where("content_id = 'c'").collect()} == {r.object_id for r in shared.records().where("content_id = 'c'").collect()}
+    wanted = spark.createDataFrame([("c",), ("e",)], "content_id string")
+    assert {r.content_id: r.status for r in shared.checked(wanted).collect()} == {"c": "ok", "e": "absent"}
+    assert {r.status for r in stores.SharedPool(spark, f"{tmp_path}/pool", "ns", bytes(32)).checked(wanted).collect()} == {"bad record", "absent"}
+    for bad in ("", "..", "a/b", "a\\b"):
+        with pytest.raises(ValueError):
+            stores.SharedPool(spark, f"{tmp_path}/pool", bad, key)
+    with pytest.raises(ValueError):
+        shared.put(spark.createDataFrame([("no id", bytearray(b"x"))], "object_id string, bytes binary"))
+
+
+def test_more_changes(spark, tables):
+    left = metadata.delete_inodes(tables, spark.createDataFrame([(10,)], "id long"))
+    assert 10 not in {r.id for r in left["inodes"].collect()} and [r.inode for r in left["file_chunks"].collect()] == [12] and left["dentries"].count() == 7
+    root = tables["inodes"].where("id = 1")
+    empty = metadata.wipe(tables | {"config": spark.range(3)}, root)
+    assert {k: t.count() for k, t in empty.items()} == {"inodes": 1, "dentries": 0, "file_chunks": 0, "config": 3}
+    marks = metadata.mark_incomplete(metadata.mark_incomplete(spark.createDataFrame([], "inode long"), spark.range(2)), spark.range(1, 3))
+    assert rows(marks) == [(0,), (1,), (2,)] and metadata.queue_length(marks).first().n == 3
+    state = spark.createDataFrame([(1, 5, 7), (2, 5, 7), (3, 5, 7)], "inode long, size long, mtime long")
+    after = spark.createDataFrame([(1, 5, 7), (2, 5, 8)], "inode long, size long, mtime long")
+    seen = content.stable(state, after, spark.createDataFrame([(1, "verified"), (2, "changed"), (3, "verified")], "inode long, outcome string"))
+    assert rows(seen) == [(1, "verified"), (2, "changed_during_read"), (3, "changed_during_read")] and content.tally(seen).first().asDict() == {"verified": 1, "missing_digest": 0, "changed": 0, "failed": 0, "changed_during_read": 2}

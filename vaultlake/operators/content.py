@@ -125,6 +125,20 @@ def verify(found: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select("inode", outcome.alias("outcome"))
 
 
+def stable(before: DataFrame, after: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """outcomes (inode, outcome) of `verify` where size and mtime were the same before and after the read; else
+    changed_during_read, which is neither a pass nor a damage. A file that went away in between is such a change."""
+    a, b = (t.select("inode", F.struct("size", "mtime").alias(n)) for t, n in ((before, "a"), (after, "b")))
+    both = outcomes.join(a, "inode", "left").join(b, "inode", "left")
+    return both.select("inode", F.when(F.coalesce(F.col("a") == F.col("b"), F.lit(False)), F.col("outcome")).otherwise("changed_during_read").alias("outcome"))
+
+
+def tally(outcomes: DataFrame) -> DataFrame:
+    """One row: files by outcome of `verify` or `stable`."""
+    kinds = ("verified", "missing_digest", "changed", "failed", "changed_during_read")
+    return outcomes.agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in kinds])
+
+
 def whole(extents: DataFrame, objects: DataFrame, sizes: DataFrame) -> DataFrame:
     """(inode, content binary, status) of files, read like `digests`; one row has to hold a file."""
     return _ordered(extents, objects, sizes).mapInArrow(_streams(_Whole, pa.binary()), "inode long, value binary, status string").withColumnRenamed("value", "content")

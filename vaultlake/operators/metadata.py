@@ -208,3 +208,37 @@ def collect_garbage(index: DataFrame, references: DataFrame, frozen: DataFrame,
     left = remove(index, removed, ["object_id"])
     named = reduce(DataFrame.union, (t.select("object_id") for t in (left, references, frozen, pins)))
     return left, removed, stored.select("object_id").distinct().join(named, "object_id", "left_anti")
+
+
+def wipe(tables: dict[str, DataFrame], root: DataFrame, keep: tuple[str, ...] = ("config",)) -> dict[str, DataFrame]:
+    """All tables emptied but those of keep; inodes has the root's row alone."""
+    return {k: t if k in keep else root.select(*t.columns) if k == "inodes" else t.limit(0) for k, t in tables.items()}
+
+
+def delete_inodes(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """tables without the inodes of ids (id) and their rows in every table with a column inode; names stay."""
+    gone = ids.select(F.col("id").alias("inode"))
+    out = {k: remove(t, gone, ["inode"]) for k, t in tables.items() if "inode" in t.columns}
+    return tables | out | {"inodes": remove(tables["inodes"], ids, ["id"])}
+
+
+def attributes(inodes: DataFrame, dentries: DataFrame) -> DataFrame:
+    """(id, size, blocks, kind, perm, nlink, mtime, atime, ctime): blocks of 512 bytes, and one time for all three."""
+    rows = with_links(inodes, dentries)
+    t = F.col("mtime")
+    return rows.select("id", "size", F.ceil(F.col("size") / 512).alias("blocks"), file_type(F.col("mode")).alias("kind"), F.col("mode").bitwiseAND(0o7777).alias("perm"), "nlink", t.alias("mtime"), t.alias("atime"), t.alias("ctime"))
+
+
+def mark_incomplete(markers: DataFrame, ids: DataFrame) -> DataFrame:
+    """markers (inode) and those of ids (id), each once. `remove` takes markers away again."""
+    return markers.select("inode").union(ids.select("id")).distinct()
+
+
+def incomplete(inodes: DataFrame, markers: DataFrame) -> DataFrame:
+    """inodes with incomplete: whether a marker says that their last write has not ended."""
+    held = markers.select(F.col("inode").alias("id")).distinct().withColumn("m__", F.lit(True))
+    return inodes.join(held, "id", "left").withColumn("incomplete", F.coalesce("m__", F.lit(False))).drop("m__")
+
+
+def queue_length(queue: DataFrame) -> DataFrame:
+    return queue.agg(F.count("*").alias("n"))

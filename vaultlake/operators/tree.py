@@ -130,19 +130,28 @@ class Folds:
         level = self.index.select("dir", "i", "hash", F.col("n").alias("left"))
         self.levels = [level]
         while most > 1:
-            pair = level.groupBy("dir", F.floor(F.col("i") / 2).alias("i"), "left").agg(
-                F.count("*").alias("k"), F.max(F.when(F.col("i") % 2 == 0, F.col("hash"))).alias("l"), F.max(F.when(F.col("i") % 2 == 1, F.col("hash"))).alias("r"))
-            above = F.when(F.col("left") == 1, F.col("l")).otherwise(merkle_node(F.col("l"), F.when(F.col("k") == 1, F.col("l")).otherwise(F.col("r"))))
-            level = pair.select("dir", "i", above.alias("hash"), F.ceil(F.col("left") / 2).alias("left"))
+            level = self._above(level)
             self.levels.append(level)
             most = (most + 1) // 2
 
+    @staticmethod
+    def _above(level: DataFrame) -> DataFrame:
+        pair = level.groupBy("dir", F.floor(F.col("i") / 2).alias("i"), "left").agg(
+            F.count("*").alias("k"), F.max(F.when(F.col("i") % 2 == 0, F.col("hash"))).alias("l"), F.max(F.when(F.col("i") % 2 == 1, F.col("hash"))).alias("r"))
+        above = F.when(F.col("left") == 1, F.col("l")).otherwise(merkle_node(F.col("l"), F.when(F.col("k") == 1, F.col("l")).otherwise(F.col("r"))))
+        return pair.select("dir", "i", above.alias("hash"), F.ceil(F.col("left") / 2).alias("left"))
+
     def roots(self) -> DataFrame:
         """(dir, root) of each list."""
         return self.levels[-1].select("dir", F.col("hash").alias("root"))
 
     def proofs(self, wanted: DataFrame) -> DataFrame:
-        """wanted (dir, i, more) with siblings array<string>, levels int, of each leaf asked for."""
+        """wanted (dir, i, more) with siblings array<string>, levels int, of each leaf asked for. Levels are written first:
+        each is joined here, and would else be folded anew from the leaves for every level above it."""
+        written = [cut(self.levels[0])]
+        while len(written) < len(self.levels):
+            written.append(cut(self._above(written[-1])))
+        self.levels = written
         out = wanted.join(self.index.groupBy("dir").agg(F.count("*").alias("n")), "dir")
         out = out.withColumn("levels", (F.ceil(F.log2("n") - 1e-12) + 1).cast("int"))
         siblings = F.array().cast("array<string>")
@@ -190,11 +199,14 @@ def tree_hashes(inodes: DataFrame, dentries: DataFrame, root: int = 1) -> DataFr
     return top.select(F.lit(root).cast("long").alias("inode_id"), "hash", F.lit(0).alias("depth")).union(nodes.select("inode_id", "hash", "depth"))
 
 
-def inclusion_proofs(nodes: DataFrame) -> DataFrame:
-    """(path, inode_id, leaf, i, siblings, levels, dir_root): of every node of `node_hashes` the proof within its directory.
+def inclusion_proofs(nodes: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(path, inode_id, leaf, i, siblings, levels, dir_root): of every node of `node_hashes`, or of those whose path is in
+    only (path), the proof within its directory.
 
     A path is proved by the proofs of its components: each directory's root is the content of the node above.
     """
     folds = Folds(nodes, "parent_inode", "name")
     wanted = folds.index.select("dir", "i", "path", "inode_id", F.col("hash").alias("leaf"))
-    return folds.proofs(wanted).join(folds.roots(), "dir").select("path", "inode_id", "leaf", "i", "siblings", "levels", F.col("root").alias("dir_root"))
+    if only is not None:
+        wanted = wanted.join(only, "path", "left_semi")
+    return folds.proofs(cut(wanted)).join(folds.roots(), "dir").select("path", "inode_id", "leaf", "i", "siblings", "levels", F.col("root").alias("dir_root"))

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests, scalars
-from ..operators import chunking, content, erasure, integrity, metadata, placement, relational, sealing, snapshots, tree, versions, writes
+from ..operators import chunking, content, erasure, integrity, metadata, placement, pool, relational, sealing, snapshots, tree, versions, writes
 from ..tables import cut, shared_dir
-from ..sources import archive
+from ..sources import archive, index_sync, stores
 from ..sources.archive import NOW, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -663,3 +663,75 @@ def upload_queue_fifo(spark, sf_dir):
 
     queue = _files(spark, sf_dir).groupBy("object_id").agg(F.min("mtime").alias("added_at"))
     return number(queue, "added_at", "object_id", name="place").select("object_id", "place")
+
+
+@query("""SELECT CASE doc_id % 4 WHEN 0 THEN path WHEN 1 THEN path || '/x' WHEN 2 THEN path ELSE '/' || lang || '/' || source END path, max(CASE WHEN doc_id % 4 = 0 THEN object_id END) content,
+CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'missing' WHEN 2 THEN 'digest' ELSE 'not a file' END status FROM f JOIN documents USING (doc_id) GROUP BY ALL""")
+def partial_restore(spark, sf_dir):
+    """Files restored by path with proofs up to the root; a quarter of the noted digests is of other bytes."""
+    found = cut(_files(spark, sf_dir))
+    extents, objects, _ = _chunked(spark, sf_dir)
+    doc = F.col("inode") - archive.FILE_BASE
+    inodes, edges = archive.tree(found.withColumn("object_id", F.when(doc % 4 == 2, F.sha2(F.lit("other"), 256)).otherwise(content.inline_digest(F.col("content")))))
+    inodes, edges = cut(inodes), cut(edges)
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    asked = found.select(F.when(doc % 4 == 1, F.concat("path", F.lit("/x"))).when(doc % 4 == 3, folder).otherwise(F.col("path")).alias("path"))
+    root = tree.node_hashes(inodes, edges)[1].first()[0]
+    out = snapshots.restore_paths({"inodes": inodes, "dentries": edges, "file_chunks": extents}, objects, root, asked)
+    return out.select("path", digests.digest(F.col("content")).alias("content"), "status")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, 'lineitem' AS t FROM lineitem UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'third sync uploads 1 table'")
+def index_sync_round_trip(spark, sf_dir):
+    """Tables sealed to two stores, synced again unchanged, synced with one more row, and restored from the second store."""
+    base = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    both, key = [stores.Store(spark, f"{base}/{x}") for x in "ab"], bytes(range(32))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    tables = {"lineitem": lines, "config": spark.createDataFrame([("k", "v")], "key string, value string"), "empty": lines.limit(0)}
+    first = index_sync.sync(tables, both, key)
+    before = both[0].read().count()
+    again = index_sync.sync(tables, both, key)
+    third = index_sync.sync(tables | {"config": tables["config"].union(spark.createDataFrame([("l", "w")], "key string, value string"))}, both, key)
+    new = both[0].read().count() - before
+    back = index_sync.restore(spark, [stores.Store(spark, f"{base}/none"), both[1]], key)
+    good = (first, again, third, new, back["config"].count(), back["empty"].count()) == (1, None, 2, 1, 2, 0)
+    rows = back["lineitem"].select(*lines.columns, F.lit("lineitem").alias("t"))
+    note = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema], F.lit(f"third sync uploads {new} table" if good else "wrong").alias("t"))
+    return rows.union(note)
+
+
+@query("SELECT inode, object_id content_id, CASE WHEN row_number() OVER (PARTITION BY object_id ORDER BY doc_id % 2, inode) = 1 THEN 'published' ELSE 'adopted' END outcome FROM f")
+def pool_publish(spark, sf_dir):
+    """Two batches, of even and of odd documents, published to one pool of sealed objects."""
+    found = cut(_files(spark, sf_dir))
+    base, key = f"{shared_dir(spark)}/pool-{uuid.uuid4().hex}", bytes(range(32))
+    shared = stores.SharedPool(spark, base, "ns", key)
+    out = []
+    for rest in (0, 1):
+        batch = found.where(F.col("inode") % 2 == rest)
+        plain = batch.select(F.col("object_id").alias("plaintext_hash"), F.col("size").alias("plain_len"), F.col("content").cast("binary").alias("data")).dropDuplicates(["plaintext_hash"])
+        sealed = cut(pool.seal_shared(sealing.compress(plain), key, key))
+        offers = batch.select("inode", F.col("object_id").alias("plaintext_hash")).join(sealed, "plaintext_hash")
+        offers = offers.select(F.col("plaintext_hash").alias("content_id"), F.col("inode").alias("archive"), F.lit(0).alias("seq"), "object_id", F.col("sealed").alias("bytes"), F.col("shared_record").alias("record"), "plaintext_hash")
+        out.append(shared.publish(offers))
+    return out[0].union(out[1]).select(F.col("archive").alias("inode"), "content_id", "outcome")
+
+
+@query("""SELECT inode id, size, (size + 511) // 512 blocks, 'regular' kind, 420::BIGINT perm, 1::BIGINT nlink, mtime, doc_id % 7 = 0 incomplete FROM f
+UNION ALL SELECT id, 4096, 8, 'directory', 493, 2, 1700000000, FALSE FROM dd""")
+def file_attributes(spark, sf_dir):
+    inodes, edges = archive.tree(_files(spark, sf_dir))
+    marks = metadata.mark_incomplete(spark.createDataFrame([], "inode long"), _files(spark, sf_dir).where((F.col("inode") - archive.FILE_BASE) % 7 == 0).select(F.col("inode").alias("id")))
+    kept = metadata.incomplete(metadata.attributes(inodes, edges), marks)
+    return kept.select("id", "size", "blocks", "kind", "perm", "nlink", "mtime", "incomplete")
+
+
+@query("SELECT archive * 100000 + id id, id % 17 = 0 AND id % 3 <> 0 protected, CASE WHEN id % 5 = 0 THEN 'a,b' ELSE '' END tags FROM sn")
+def snapshot_controls(spark, sf_dir):
+    """Protection and tags of all snapshots, set in two batches, of which the second leaves some as they are."""
+    snaps = _snapshots(spark, sf_dir).select((F.col("archive") * 100000 + F.col("id")).alias("id"), F.col("id").alias("n"), "protected")
+    tables = {"snapshots": snaps.select("id"), "config": spark.createDataFrame([], "key string, value string"), "snapshot_controls": spark.createDataFrame([], "snapshot_id long, protected boolean, tags_json string")}
+    first = snaps.where("protected OR n % 5 = 0").select(F.col("id").alias("snapshot_id"), "protected", F.lit(None).cast("string").alias("tags_json"))
+    second = snaps.where("n % 5 = 0 OR n % 3 = 0").select(F.col("id").alias("snapshot_id"), F.when(F.col("n") % 3 == 0, F.lit(False)).alias("protected"), F.when(F.col("n") % 5 == 0, '["a","b"]').alias("tags_json"))
+    out = snapshots.controls(snapshots.set_controls(snapshots.set_controls(tables, first), second))
+    return out.select("id", "protected", F.array_join("tags", ",").alias("tags"))

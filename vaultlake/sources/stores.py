@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import digest
-from ..functions.scalars import object_id_valid
+from ..functions.scalars import object_id_valid, safe_component
+from ..operators.pool import parse_record
+from ..operators.sealing import unwrap
 from ..operators.tree import counted
+from ..tables import cut
 
 BUNDLE_VERSION = 1
 OBJECTS = "object_id string, bytes binary, prefix string"
@@ -151,3 +154,58 @@ def import_bundle(spark: SparkSession, path: str, store: Store) -> dict[str, Dat
     store.upload(spark.read.parquet(f"{path}/objects"))
     manifest = json.loads("".join(r.value for r in spark.read.text(f"{path}/manifest").collect()))
     return {k: spark.read.parquet(f"{path}/tables/{k}") for k in manifest["tables"]}
+
+
+class SharedPool:
+    """One namespace of a store that several archives share: objects (object_id, bytes), and records (content_id, object_id,
+    record) under the domain's key. Objects are written before the records that name them.
+
+    Of writers at the same time the store's last check decides nothing: give one job the writing, or put the records in a
+    table format with transactions."""
+
+    def __init__(self, spark: SparkSession, root: str, namespace: str, key: bytes) -> None:
+        if not spark.range(1).select(safe_component(F.lit(namespace))).first()[0]:
+            raise ValueError(f"not a namespace: {namespace!r}")
+        self.spark, self.key = spark, key
+        self.objects = Store(spark, f"{root.rstrip('/')}/{namespace}/objects")
+        self.at = f"{root.rstrip('/')}/{namespace}/records"
+
+    def records(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        if not path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            return self.spark.createDataFrame([], "content_id string, object_id string, record binary")
+        return self.spark.read.parquet(self.at)
+
+    def put(self, objects: DataFrame) -> None:
+        """Store objects (object_id, bytes). An id that is no digest, and an object that is there with other bytes, raise."""
+        got = self.objects.fetch(objects.select("object_id").distinct())
+        bad = objects.where(~object_id_valid(F.col("object_id"))).select("object_id").union(got.where("status = 'corrupt'").select("object_id")).first()
+        if bad is not None:
+            raise ValueError(f"object {bad.object_id} is no digest, or is stored with other bytes")
+        self.objects.upload(objects)
+
+    def checked(self, wanted: DataFrame) -> DataFrame:
+        """wanted (content_id) with object_id, plaintext_hash and status: absent, bad record, missing, corrupt or ok."""
+        r = wanted.select("content_id").join(self.records(), "content_id", "left").withColumn("r", parse_record(unwrap(F.col("record"), self.key)))
+        got = self.objects.fetch(r.where("object_id IS NOT NULL").select("object_id").distinct()).select("object_id", F.col("status").alias("held"))
+        early = F.when(F.col("object_id").isNull(), "absent").when(F.col("r").isNull() | (F.col("r.object_id") != F.col("object_id")), "bad record")
+        return r.join(got, "object_id", "left").select("content_id", "object_id", F.col("r.plaintext_hash").alias("plaintext_hash"), F.coalesce(early, "held").alias("status"))
+
+    def publish(self, offers: DataFrame) -> DataFrame:
+        """(content_id, archive, object_id, outcome) of offers (content_id, archive, seq, object_id, bytes, record,
+        plaintext_hash).
+
+        A content that the pool has is adopted if its record opens, its object is whole and the plaintext is the same,
+        else refused. Of several offers of a new content the first is published and the others adopt it by the same rule.
+        """
+        offers = cut(offers)
+        fresh = offers.join(self.records().select("content_id"), "content_id", "left_anti")
+        first = cut(fresh.groupBy("content_id").agg(F.min(F.struct("seq", "archive", "object_id", "bytes", "record")).alias("f")).select("content_id", "f.*"))
+        self.put(first.select("object_id", "bytes"))
+        first.select("content_id", "object_id", "record").write.mode("append").parquet(self.at)
+        won = first.select("content_id", "archive", "seq", F.lit(True).alias("won"))
+        held = self.checked(offers.select("content_id").distinct()).withColumnsRenamed({"object_id": "pooled", "plaintext_hash": "p"})
+        both = offers.select("content_id", "archive", "seq", "plaintext_hash").join(held, "content_id").join(won, ["content_id", "archive", "seq"], "left")
+        same = (F.col("status") == "ok") & (F.col("p") == F.col("plaintext_hash"))
+        outcome = F.when(~F.coalesce(same, F.lit(False)), "refused").when(F.col("won"), "published").otherwise("adopted")
+        return cut(both.select("content_id", "archive", F.when(outcome != "refused", F.col("pooled")).alias("object_id"), outcome.alias("outcome")))

@@ -1,12 +1,15 @@
-"""Structured Streaming: upload drain, buffered writes, operation log."""
+"""Structured Streaming: upload drain with its barrier and rate limit, periodic jobs, buffered writes, operation log."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import cut
+
 
 def drain(queue: DataFrame, upload: Callable[[DataFrame], None], checkpoint: str, interval: str | None = None):
     """Start uploading a stream of queued objects (object_id, added_at), each once a batch, in the order they came.
@@ -38,6 +41,51 @@ def uploader(store: str) -> Callable[[DataFrame], None]:
     return upload
 
 
+def queue_stream(spark: SparkSession, path: str, schema: str, files: int | None = None, size: str | None = None) -> DataFrame:
+    """The upload queue as a stream, at most so many files or bytes ("64m") a trigger: with the trigger's interval that
+    is the rate limit."""
+    if files is not None and size is not None:
+        raise ValueError("a limit is on files or on bytes")
+    reader = spark.readStream.schema(schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    if size is not None:
+        reader = reader.option("maxBytesPerTrigger", size)
+    return reader.parquet(path)
+
+
+def barrier(upload: Callable[[DataFrame], list], publish: Callable[[], object]) -> Callable[[DataFrame], None]:
+    """An upload for `drain` that publishes the index only after a batch whose upload names no failed back end. A failed
+    batch raises, so that the checkpoint keeps it for the next run, and what names its objects is not published."""
+
+    def run(df: DataFrame) -> None:
+        failed = upload(df)
+        if failed:
+            raise RuntimeError(f"not uploaded to {failed}; the index is not published")
+        publish()
+
+    return run
+
+
+def periodic(spark: SparkSession, job: Callable[[], object], checkpoint: str, every: str):
+    """Start running a batch job at an interval ("1 hour"): garbage collection, index sync, eviction. A job that raises
+    ends the query, and its exception tells so."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda df, i: job()).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def finalize(flush: Callable[[DataFrame], DataFrame], open_files: DataFrame, waits: tuple[float, ...] = (0.05, 0.2, 0.8), wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """open_files (id) that could not be flushed, to be marked incomplete. flush takes files and gives those that failed;
+    these, and no others, are tried again after each wait."""
+    left = cut(flush(open_files).select("id"))
+    for pause in waits:
+        if left.isEmpty():
+            break
+        wait(pause)
+        left = cut(flush(left).select("id"))
+    return left
+
+
 def log_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The operations log, one JSON object a line, as a stream; lines that do not parse are dropped."""
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path)
