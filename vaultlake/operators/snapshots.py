@@ -188,13 +188,15 @@ def prove(nodes: DataFrame, found: DataFrame, root: str) -> DataFrame:
     return found.select("path").join(ok, "path", "left").select("path", F.coalesce(F.col("all") & (F.col("k") == F.size(parts) - 1), F.lit(False)).alias("proved"))
 
 
-def restore_paths(frozen: dict[str, DataFrame], objects: DataFrame, root: str, requests: DataFrame) -> DataFrame:
-    """(path, content, status) of requests (path) from a snapshot's tables and objects (object_id, data).
+def restore_paths(frozen: dict[str, DataFrame], objects: DataFrame, root: str, requests: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(path, content, status) of requests (path) from a snapshot's tables and objects (object_id, data). nodes: those that
+    `node_hashes` gives for these tables, if they are at hand.
 
     status: missing, not a file, no digest, digest (bytes or size are not those noted), not proved (the noted digest does
     not fold to root), else ok; content is null unless ok. Only the files asked for are read.
     """
-    nodes = cut(node_hashes(frozen["inodes"], frozen["dentries"])[0].join(frozen["inodes"].select(F.col("id").alias("inode_id"), "mode"), "inode_id"))
+    nodes = node_hashes(frozen["inodes"], frozen["dentries"])[0] if nodes is None else nodes
+    nodes = cut(nodes.join(frozen["inodes"].select(F.col("id").alias("inode_id"), "mode"), "inode_id"))
     asked = requests.select("path").distinct()
     clean = F.concat(F.lit("/"), F.array_join(F.filter(F.split("path", "/"), lambda x: x != ""), "/"))
     found = resolve(nodes, asked).withColumn("clean", clean)

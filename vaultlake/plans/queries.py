@@ -676,8 +676,8 @@ def partial_restore(spark, sf_dir):
     inodes, edges = cut(inodes), cut(edges)
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     asked = found.select(F.when(doc % 4 == 1, F.concat("path", F.lit("/x"))).when(doc % 4 == 3, folder).otherwise(F.col("path")).alias("path"))
-    root = tree.node_hashes(inodes, edges)[1].first()[0]
-    out = snapshots.restore_paths({"inodes": inodes, "dentries": edges, "file_chunks": extents}, objects, root, asked)
+    nodes, root = tree.node_hashes(inodes, edges)
+    out = snapshots.restore_paths({"inodes": inodes, "dentries": edges, "file_chunks": extents}, objects, root.first()[0], asked, nodes)
     return out.select("path", digests.digest(F.col("content")).alias("content"), "status")
 
 
