@@ -80,6 +80,15 @@ def test_xattrs(spark):
     assert metadata.remove(out, ask, ["inode", "name"]).count() == 1021
 
 
+def test_attributes_are_not_broadcast(spark):
+    """A thousand attributes an inode, made by a generator: the planner takes them for a hundred rows."""
+    attrs = spark.range(100).select(F.col("id").alias("inode"), F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("k")).select("inode", F.col("k").cast("string").alias("name"), F.lit(b"v").alias("value"))
+    ask = spark.range(300).select((F.col("id") % 100).alias("inode"), (F.col("id") + 900).cast("string").alias("name"), F.lit(b"w").alias("value"), F.lit("create").alias("flag"))
+    _, said = metadata.set_xattrs(attrs, ask)
+    assert "Broadcast" not in said._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in said.groupBy("status").count().collect()} == {("exists", 101), ("set", 199)}
+
+
 def test_inline_and_updates(spark):
     inodes = spark.createDataFrame([(1, 5, bytearray(b"12345")), (2, 9, None)], "id long, size long, inline_data binary")
     extents = spark.createDataFrame([(2, 0, "x", 9)], "inode long, offset long, object_id string, plain_len long")

@@ -174,9 +174,12 @@ def set_xattrs(attrs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFr
     flag create fails where the name is there, replace where it is not, any sets both. An inode has at most MAX_XATTRS;
     of new names beyond, the last in name order fail. outcomes: (inode, name, status), status set, exists, absent or
     too_many.
+
+    Both joins are sorted ones: the planner takes rows made of others by a generator for a table as small as these, and
+    would broadcast all attributes.
     """
-    held = attrs.select("inode", "name", F.lit(True).alias("there"))
-    counts = attrs.groupBy("inode").agg(F.count("*").alias("n"))
+    held = attrs.select("inode", "name", F.lit(True).alias("there")).hint("merge")
+    counts = attrs.groupBy("inode").agg(F.count("*").alias("n")).hint("merge")
     asked = requests.join(held, ["inode", "name"], "left").join(counts, "inode", "left")
     there = F.coalesce("there", F.lit(False))
     early = F.when(there & (F.col("flag") == "create"), "exists").when(~there & (F.col("flag") == "replace"), "absent")
