@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -378,6 +379,27 @@ def test_shared_pool(spark, tmp_path):
         shared.put(spark.createDataFrame([("no id", bytearray(b"x"))], "object_id string, bytes binary"))
 
 
+def test_workers_get_and_give_bounded_batches(spark, monkeypatch):
+    """200 objects of 300 kB in one partition; small ones that padding makes large; and large ones that pack small."""
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    rows_ = spark.range(0, 200, 1, 1).select("id", F.repeat(F.lit("some words "), 30_000).cast("binary").alias("data"))
+    took = []
+    with monkeypatch.context() as m:
+        m.setattr(type(rows_), "mapInArrow", lambda self, run, schema: took.append(run))
+        sealing.compress(rows_)
+        sealing.decompress(rows_.withColumn("comp_type", F.lit(1)))
+    sizes = rows_.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"]) for b in batches), "n long")
+    assert sizes.agg(F.max("n")).first()[0] < 4 << 20
+    pack, unpack = took
+    few = pa.RecordBatch.from_pydict({"id": list(range(9000)), "data": [b"x"] * 9000})
+    packed = list(pack([few]))
+    assert max(b.nbytes for b in packed) < 4 << 20 and pa.Table.from_batches(packed).column("id").to_pylist() == list(range(9000))
+    large = pa.RecordBatch.from_pydict({"id": list(range(50)), "data": [bytes(1 << 20)] * 50})
+    opened = list(unpack(pack([large])))
+    assert max(b.nbytes for b in opened) < 4 << 20 and {r["data"] for b in opened for r in b.to_pylist()} == {bytes(1 << 20)} and sum(map(len, opened)) == 50
+
+
 def test_more_changes(spark, tables):
     left = metadata.delete_inodes(tables, spark.createDataFrame([(10,)], "id long"))
     assert 10 not in {r.id for r in left["inodes"].collect()} and [r.inode for r in left["file_chunks"].collect()] == [12] and left["dentries"].count() == 7

@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import BATCH_BYTES, small_batches  # noqa: F401  operators take them from here
 
 #: A word is a run of characters outside these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,8 +22,6 @@ SPACE = r"\x20\x09-\x0D"
 BROADCAST_BYTES = 8 << 20
 #: Narrow tables are written in files of so many rows, and at least in so many files.
 ROWS_A_FILE, LEAST_FILES = 1 << 20, 8
-#: An Arrow batch takes no further row beyond this many bytes.
-BATCH_BYTES = 2 << 20
 
 _own_dir: str | None = None
 
@@ -113,18 +111,6 @@ def shielded(docs: DataFrame, needed: tuple[str, ...], work: Callable[[DataFrame
     return out.select(*[F.col(o).alias(n) for o, n in zip(own, names, strict=True)])
 
 
-def small_batches(spark: SparkSession, rows: int = 10_000) -> None:
-    """Before Arrow functions: bound what one batch of whole texts can hold in a worker, and send it this package.
-
-    A batch closes at `rows` rows or BATCH_BYTES, whichever comes first; a longer text has a batch of its own. What the
-    session has set itself stays.
-    """
-    ship(spark)
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, str(most))
-
-
 def connected_components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
     """(a long, b long) edges -> (node, component): the smallest node reachable, for each node on an edge. nodes: about
     how many nodes there are, if known, by which the first table's files are sized.

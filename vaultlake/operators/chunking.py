@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import small_batches
 from .content import whole
 
 SIZES = (16 << 10, 64 << 10, 256 << 10)
@@ -54,7 +54,7 @@ def cut_points(data: bytes, least: int, average: int, most: int) -> list[int]:
 
 def chunk(found: DataFrame, sizes: tuple[int, int, int] = SIZES) -> DataFrame:
     """(inode, offset, plain_len, plaintext_hash, data binary) of files (inode, content); empty files have no chunks."""
-    ship(found.sparkSession)
+    small_batches(found.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0

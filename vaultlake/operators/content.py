@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import small_batches
 
 _ZEROS = bytes(1 << 16)
 _BATCH_BYTES = 2 << 20
@@ -99,7 +99,7 @@ def _streams(make: Callable, kind: pa.DataType) -> Callable[[Iterator[pa.RecordB
 
 
 def _ordered(extents: DataFrame, objects: DataFrame, sizes: DataFrame) -> DataFrame:
-    ship(sizes.sparkSession)
+    small_batches(sizes.sparkSession)
     held = objects.select("object_id", "data", F.lit(True).alias("known"))
     rows = sizes.select("inode", "size").join(extents.select("inode", "offset", "object_id").join(held, "object_id", "left"), "inode", "left")
     return rows.select("inode", "size", "offset", "data", "known").repartition("inode").sortWithinPartitions("inode", "offset")

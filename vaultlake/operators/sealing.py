@@ -9,18 +9,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import digest
-from ..shipping import ship
+from ..shipping import BATCH_BYTES, small_batches
 
 PAD, MAX_PLAIN = 4096, 128 << 20
 ZSTD, PADDED = 1, 0x80
 
 
+# A batch given back closes at BATCH_BYTES as well: packed chunks grow by what they hold, small ones by their padding.
+
+
+def _rest(batch: pa.RecordBatch, names: list[str], upto: int, out: list[bytes]) -> list[pa.Array]:
+    """The other columns of the rows that out was made of, the last of which is row number upto."""
+    return [batch.column(c).slice(upto - len(out), len(out)) for c in names]
+
+
 def compress(rows: DataFrame, level: int = 3, min_size: int = 64, min_percent: int = 5, pad: bool = True) -> DataFrame:
     """rows (…, data binary) with data packed and comp_type: zstd where that saves enough, then zero-padded.
 
     The padded form ends in the length before padding, four bytes big-endian, and sets the high bit of comp_type.
     """
-    ship(rows.sparkSession)
+    small_batches(rows.sparkSession)
     names = [c for c in rows.columns if c != "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,8 +36,8 @@ def compress(rows: DataFrame, level: int = 3, min_size: int = 64, min_percent: i
 
         packer = zstandard.ZstdCompressor(level=level)
         for batch in batches:
-            kinds, out = [], []
-            for x in batch.column("data"):
+            kinds, out, held = [], [], 0
+            for n, x in enumerate(batch.column("data"), 1):
                 data, kind = x.as_py() or b"", 0
                 if len(data) > MAX_PLAIN:
                     raise ValueError("chunk too long")
@@ -41,7 +49,10 @@ def compress(rows: DataFrame, level: int = 3, min_size: int = 64, min_percent: i
                     data, kind = data + bytes(-len(data) % PAD) + len(data).to_bytes(4, "big"), kind | PADDED
                 kinds.append(kind)
                 out.append(data)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(kinds, pa.int32()), pa.array(out, pa.binary())], [*names, "comp_type", "data"])
+                held += len(data)
+                if held > BATCH_BYTES or n == len(batch):
+                    yield pa.RecordBatch.from_arrays([*_rest(batch, names, n, out), pa.array(kinds, pa.int32()), pa.array(out, pa.binary())], [*names, "comp_type", "data"])
+                    kinds, out, held = [], [], 0
 
     schema = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names]
     return rows.select(*names, "data").mapInArrow(run, ", ".join([*schema, "comp_type int", "data binary"]))
@@ -49,20 +60,20 @@ def compress(rows: DataFrame, level: int = 3, min_size: int = 64, min_percent: i
 
 def decompress(rows: DataFrame) -> DataFrame:
     """rows with data unpacked and status: ok, bad padding, unknown codec, corrupt."""
-    ship(rows.sparkSession)
+    small_batches(rows.sparkSession)
     names = [c for c in rows.columns if c != "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         for batch in batches:
-            states, out = [], []
-            for x, kind in zip(batch.column("data"), batch.column("comp_type").to_pylist(), strict=True):
+            states, out, held = [], [], 0
+            for n, (x, kind) in enumerate(zip(batch.column("data"), batch.column("comp_type").to_pylist(), strict=True), 1):
                 data, state = x.as_py() or b"", "ok"
                 if kind & PADDED:
-                    n = int.from_bytes(data[-4:], "big") if len(data) >= 4 else -1
-                    if 0 <= n <= min(len(data) - 4, MAX_PLAIN):
-                        data = data[:n]
+                    size = int.from_bytes(data[-4:], "big") if len(data) >= 4 else -1
+                    if 0 <= size <= min(len(data) - 4, MAX_PLAIN):
+                        data = data[:size]
                     else:
                         data, state = b"", "bad padding"
                 if state == "ok" and kind & 0x7F == ZSTD:
@@ -76,7 +87,10 @@ def decompress(rows: DataFrame) -> DataFrame:
                     data, state = b"", "unknown codec"
                 states.append(state)
                 out.append(data)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.binary()), pa.array(states, pa.string())], [*names, "data", "status"])
+                held += len(data)
+                if held > BATCH_BYTES or n == len(batch):
+                    yield pa.RecordBatch.from_arrays([*_rest(batch, names, n, out), pa.array(out, pa.binary()), pa.array(states, pa.string())], [*names, "data", "status"])
+                    states, out, held = [], [], 0
 
     schema = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names]
     return rows.select(*names, "data").mapInArrow(run, ", ".join([*schema, "data binary", "status string"]))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import small_batches
 
 
 def apply_local(content: bytes, ops: list[dict]) -> bytes:
@@ -35,7 +35,7 @@ def apply(found: DataFrame, ops: DataFrame) -> DataFrame:
 
     One file's operations meet in one row; they are bounded by a file's own history.
     """
-    ship(found.sparkSession)
+    small_batches(found.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

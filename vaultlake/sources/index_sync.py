@@ -17,12 +17,14 @@ from pyspark.sql.types import StructType
 
 from ..operators import sealing
 from ..operators.sealing import unwrap, wrap
-from ..tables import cut
+from ..tables import cut, small
 from .stores import Store, fetch_first
 
 ROWS_A_PIECE = 4096
 #: Times keep their microseconds in the text of a row.
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+#: Of a piece's place or id in memory.
+ENTRY_BYTES = 128
 ENTRY = "table string, piece long, plaintext_hash string, object_id string, record string"
 
 
@@ -35,9 +37,10 @@ def pieces(tables: dict[str, DataFrame]) -> DataFrame:
         total = t.count()
         while n * ROWS_A_PIECE < total:
             n *= 2
-        row = F.to_json(F.struct(*[F.col(c) for c in sorted(t.columns)]), JSON)
-        dealt = t.select(row.alias("row")).select("row", F.pmod(F.xxhash64("row"), F.lit(n)).alias("piece"))
-        data = F.array_join(F.array_sort(F.collect_list("row")), "\n").cast("binary")
+        row = F.to_json(F.struct(*[F.col(f"r.`{c}`") for c in sorted(t.columns)]), JSON)
+        dealt = t.select(F.struct(*[F.col(f"`{c}`") for c in t.columns]).alias("r")).select("r", F.pmod(F.xxhash64(row), F.lit(n)).alias("piece"))
+        dealt = dealt.repartition("piece")  # rows move as they are, as their texts are longer
+        data = F.array_join(F.array_sort(F.collect_list(row)), "\n").cast("binary")
         out.append(dealt.groupBy("piece").agg(data.alias("data")).select(F.lit(name).alias("table"), "piece", F.sha2("data", 256).alias("plaintext_hash"), F.octet_length("data").cast("long").alias("plain_len"), "data"))
     return reduce(DataFrame.union, out)
 
@@ -67,7 +70,7 @@ def sync(tables: dict[str, DataFrame], stores: list[Store], key: bytes) -> int |
     """The number of the new manifest in all stores, or null where all hold these rows already. A store that fails raises
     before it has a manifest, and the next sync begins anew."""
     spark = next(iter(tables.values())).sparkSession
-    now, held = cut(pieces(tables)), [versions(s) for s in stores]
+    now, held = cut(pieces(tables), large=True), [versions(s) for s in stores]
     schemas = {k: StructType(sorted(t.schema.fields, key=lambda f: f.name)) for k, t in tables.items()}
     known = None
     if all(held) and len({h[0] for h in held}) == 1:
@@ -80,8 +83,10 @@ def sync(tables: dict[str, DataFrame], stores: list[Store], key: bytes) -> int |
     if known is None:
         known = spark.createDataFrame([], "plaintext_hash string, object_id string, record binary")
     known = known.select("plaintext_hash", "object_id", "record").dropDuplicates(["plaintext_hash"])
-    fresh = now.drop("table", "piece").dropDuplicates(["plaintext_hash"]).join(known, "plaintext_hash", "left_anti")
-    sealed = cut(sealing.seal(sealing.compress(fresh), key))  # written before it is used twice: keys are random
+    lacked = now.select("table", "piece", "plaintext_hash").join(known, "plaintext_hash", "left_anti")
+    one = cut(lacked.groupBy("plaintext_hash").agg(F.min(F.struct("table", "piece")).alias("at")).select("at.*"))  # a few bytes a piece, so that rows stay where they are
+    fresh = now.join(small(one, ENTRY_BYTES), ["table", "piece"], "left_semi").drop("table", "piece")
+    sealed = cut(sealing.seal(sealing.compress(fresh), key), large=True)  # written before it is used twice: keys are random
     entries = cut(now.select("table", "piece", "plaintext_hash").join(known.unionByName(sealed.select(*known.columns)), "plaintext_hash"))
     for store in stores:
         store.upload(sealed.select("object_id", F.col("sealed").alias("bytes")))
@@ -110,11 +115,11 @@ def restore(spark: SparkSession, stores: list[Store], key: bytes) -> dict[str, D
     schemas, entries = opened
     entries = cut(entries)
     got = fetch_first(entries.select("object_id").distinct(), stores).select("object_id", F.col("bytes").alias("sealed"))
-    data = cut(sealing.open_sealed(entries.select("object_id", "record").dropDuplicates(["object_id"]).join(got, "object_id"), key))
+    data = cut(sealing.open_sealed(entries.select("object_id", "record").dropDuplicates(["object_id"]).join(got, "object_id"), key), large=True)
     bad = data.where("status <> 'ok'").first()
     if bad is not None:
         raise ValueError(f"piece {bad.object_id}: {bad.status}")
-    lines = entries.join(data.select("object_id", "data"), "object_id").select("table", F.explode(F.split(F.col("data").cast("string"), "\n")).alias("row"))
+    lines = data.select("object_id", "data").join(small(entries.select("object_id", "table"), ENTRY_BYTES), "object_id").select("table", F.explode(F.split(F.col("data").cast("string"), "\n")).alias("row"))
     return {k: lines.where(F.col("table") == k).select(F.from_json("row", s, JSON).alias("r")).select("r.*") for k, s in schemas.items()}
 
 

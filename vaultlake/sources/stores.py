@@ -14,7 +14,7 @@ from ..functions.scalars import object_id_valid, safe_component
 from ..operators.pool import parse_record
 from ..operators.sealing import unwrap
 from ..operators.tree import counted
-from ..tables import cut
+from ..tables import LARGE_ROWS, cut
 
 BUNDLE_VERSION = 1
 OBJECTS = "object_id string, bytes binary, prefix string"
@@ -55,11 +55,20 @@ class Store:
             return self.spark.createDataFrame([], OBJECTS)
         return self.spark.read.schema(OBJECTS).parquet(self.at)
 
-    def upload(self, objects: DataFrame) -> None:
-        """Append what the store lacks: one join of the batch, whose prefixes prune the store's folders. Repeating a batch
-        changes nothing."""
-        rows = objects.select("object_id", "bytes", F.substring("object_id", 1, 2).alias("prefix")).dropDuplicates(["object_id"])
-        rows.join(self.read().select("object_id", "prefix"), ["object_id", "prefix"], "left_anti").write.mode("append").partitionBy("prefix").parquet(self.at)
+    def upload(self, objects: DataFrame, only: DataFrame | None = None) -> None:
+        """Append what the store lacks, of `only` (object_id) where that is given. Repeating a batch changes nothing.
+
+        Ids that are stored and ids that are asked for are marks beside the batch: its bytes move once, by folder, so that
+        a folder gets one file.
+        """
+        none = F.lit(None).cast("binary").alias("bytes")
+        rows = objects.select("object_id", "bytes", F.lit(False).alias("held"), F.lit(only is None).alias("asked"))
+        rows = rows.union(self.read().select("object_id", none, F.lit(True), F.lit(False)))
+        if only is not None:
+            rows = rows.union(only.select("object_id", none, F.lit(False), F.lit(True)))
+        rows = rows.withColumn("prefix", F.substring("object_id", 1, 2)).repartition("prefix")
+        one = rows.groupBy("prefix", "object_id").agg(F.max("held").alias("held"), F.max("asked").alias("asked"), F.first("bytes", ignorenulls=True).alias("bytes"))
+        one.where("asked AND NOT held AND bytes IS NOT NULL").select("object_id", "bytes", "prefix").write.options(**LARGE_ROWS).mode("append").partitionBy("prefix").parquet(self.at)
 
     def upload_from_cache(self, cached: DataFrame) -> DataFrame:
         """Upload cached objects whose bytes have their id; (object_id) of the others, which are refused."""
@@ -73,14 +82,22 @@ class Store:
         status = F.when(F.col("bytes").isNull(), "missing").when(digest(F.col("bytes")) != F.col("object_id"), "corrupt").otherwise("ok")
         return held.select("object_id", F.when(status == "ok", F.col("bytes")).alias("bytes"), status.alias("status"))
 
+    def check(self, ids: DataFrame) -> DataFrame:
+        """ids (object_id) with status, as `fetch` has it. Bytes are digested where they are read and do not move."""
+        held = self.read().select("object_id", "prefix", (digest(F.col("bytes")) == F.col("object_id")).alias("whole"))
+        found = ids.select("object_id", F.substring("object_id", 1, 2).alias("prefix")).join(held, ["object_id", "prefix"], "left")
+        return found.select("object_id", F.when(F.col("whole").isNull(), "missing").when(F.col("whole"), "ok").otherwise("corrupt").alias("status"))
+
 
 def fetch_first(ids: DataFrame, stores: list[Store]) -> DataFrame:
-    """ids (object_id) with bytes and source: of the first store, local ones before others, whose copy has the id."""
-    out = ids.select("object_id", F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("int").alias("source"))
+    """ids (object_id) with bytes and source: of the first store, local ones before others, whose copy has the id. Only
+    whole copies of what is asked for move, once, and are held against the ids where they lie."""
+    wanted, out = ids.select("object_id").distinct(), ids.sparkSession.createDataFrame([], "object_id string, bytes binary, source int")
     for i, store in enumerate(stores):
-        got = store.fetch(ids).select("object_id", F.col("bytes").alias("b"))
-        out = out.join(got, "object_id", "left").select("object_id", F.coalesce("bytes", "b").alias("bytes"), F.coalesce("source", F.when(F.col("b").isNotNull(), i)).alias("source"))
-    return out
+        whole = store.read().where(digest(F.col("bytes")) == F.col("object_id"))
+        out = out.union(whole.join(wanted, "object_id", "left_semi").select("object_id", "bytes", F.lit(i)))
+    first = out.groupBy("object_id").agg(F.min_by("bytes", "source").alias("bytes"), F.min("source").alias("source"))
+    return ids.select("object_id").join(first, "object_id", "left")
 
 
 def upload_all(objects: DataFrame, stores: list[Store], attempts: int = 6, wait: Callable[[float], None] = time.sleep) -> list[int]:
@@ -176,32 +193,44 @@ class SharedPool:
             return self.spark.createDataFrame([], "content_id string, object_id string, record binary")
         return self.spark.read.parquet(self.at)
 
-    def put(self, objects: DataFrame) -> None:
-        """Store objects (object_id, bytes). An id that is no digest, and an object that is there with other bytes, raise."""
-        got = self.objects.fetch(objects.select("object_id").distinct())
-        bad = objects.where(~object_id_valid(F.col("object_id"))).select("object_id").union(got.where("status = 'corrupt'").select("object_id")).first()
+    def put(self, objects: DataFrame, only: DataFrame | None = None) -> None:
+        """Store objects (object_id, bytes), those of `only` (object_id) where that is given. An id that is no digest, and
+        an object that is there with other bytes, raise."""
+        ids = (objects if only is None else only).select("object_id").distinct()
+        got = self.objects.check(ids)
+        bad = ids.where(~object_id_valid(F.col("object_id"))).union(got.where("status = 'corrupt'").select("object_id")).first()
         if bad is not None:
             raise ValueError(f"object {bad.object_id} is no digest, or is stored with other bytes")
-        self.objects.upload(objects)
+        self.objects.upload(objects, only)
 
     def checked(self, wanted: DataFrame) -> DataFrame:
         """wanted (content_id) with object_id, plaintext_hash and status: absent, bad record, missing, corrupt or ok."""
         r = wanted.select("content_id").join(self.records(), "content_id", "left").withColumn("r", parse_record(unwrap(F.col("record"), self.key)))
-        got = self.objects.fetch(r.where("object_id IS NOT NULL").select("object_id").distinct()).select("object_id", F.col("status").alias("held"))
+        got = self.objects.check(r.where("object_id IS NOT NULL").select("object_id").distinct()).select("object_id", F.col("status").alias("held"))
         early = F.when(F.col("object_id").isNull(), "absent").when(F.col("r").isNull() | (F.col("r.object_id") != F.col("object_id")), "bad record")
         return r.join(got, "object_id", "left").select("content_id", "object_id", F.col("r.plaintext_hash").alias("plaintext_hash"), F.coalesce(early, "held").alias("status"))
 
-    def publish(self, offers: DataFrame) -> DataFrame:
+    def publish(self, offers: DataFrame, objects: DataFrame | None = None) -> DataFrame:
         """(content_id, archive, object_id, outcome) of offers (content_id, archive, seq, object_id, bytes, record,
-        plaintext_hash).
+        plaintext_hash). Where the bytes come apart, once an object, as objects (object_id, bytes), offers have none.
 
         A content that the pool has is adopted if its record opens, its object is whole and the plaintext is the same,
         else refused. Of several offers of a new content the first is published and the others adopt it by the same rule.
+        Who is first is decided without the bytes, which move once, into the store.
         """
         offers = cut(offers)
         fresh = offers.join(self.records().select("content_id"), "content_id", "left_anti")
-        first = cut(fresh.groupBy("content_id").agg(F.min(F.struct("seq", "archive", "object_id", "bytes", "record")).alias("f")).select("content_id", "f.*"))
-        self.put(first.select("object_id", "bytes"))
+        own = F.lit(None).cast("string") if objects is not None else digest(F.col("bytes"))
+        fresh = fresh.withColumn("own", own)
+        first = fresh.groupBy("content_id").agg(F.min(F.struct("seq", "archive", "object_id", "own", "record")).alias("f"))
+        first = cut(first.select("content_id", "f.*"))
+        if objects is None:
+            self.put(fresh.join(first, ["content_id", "archive", "seq", "object_id", "own"], "left_semi").select("object_id", "bytes"))
+        else:
+            self.put(objects, first)
+            lost = first.join(self.objects.read().select("object_id"), "object_id", "left_anti").first()
+            if lost is not None:
+                raise ValueError(f"object {lost.object_id} is offered without bytes")
         first.select("content_id", "object_id", "record").write.mode("append").parquet(self.at)
         won = first.select("content_id", "archive", "seq", F.lit(True).alias("won"))
         held = self.checked(offers.select("content_id").distinct()).withColumnsRenamed({"object_id": "pooled", "plaintext_hash": "p"})

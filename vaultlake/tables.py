@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables of at most this many bytes (row count times row width) may be broadcast.
+BROADCAST_BYTES = 8 << 20
+
 _own_dir: str | None = None
 
 
@@ -27,17 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: For tables of objects: a reader holds a row group's values at once, up to 4096 rows, and twice that while it grows.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "8"}
+
+
+def cut(df: DataFrame, large: bool = False) -> DataFrame:
     """df written as Parquet and read back: its lineage ends there, and lost executors cost no recomputation. The files
-    go when the driver ends."""
+    go when the driver ends. large: rows hold whole objects."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vaultlake-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS | {"compression": "zstd"} if large else {})).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows fit BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def number(df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
     """df and `name` long: its rows counted from 0 in this order. A range-partitioned sort and the partitions' sizes, of
     which the driver sees one row each, so that no task holds more than its range."""
