@@ -400,6 +400,29 @@ def test_workers_get_and_give_bounded_batches(spark, monkeypatch):
     assert max(b.nbytes for b in opened) < 4 << 20 and {r["data"] for b in opened for r in b.to_pylist()} == {bytes(1 << 20)} and sum(map(len, opened)) == 50
 
 
+def test_objects_apart_from_offers(spark, tmp_path):
+    """Bytes are given once an object and move once, to one file a folder; offers that have no bytes anywhere raise."""
+    key = bytes(range(32))
+    shared = stores.SharedPool(spark, f"{tmp_path}/pool", "ns", key)
+    plain = spark.createDataFrame([(sha(b"%d" % i), 3, bytearray(b"%d" % i)) for i in range(100, 1000)], "plaintext_hash string, plain_len long, data binary")
+    sealed = pool.seal_shared(sealing.compress(plain), key, key, key_seed="s").cache()
+    offers = sealed.select(F.col("plaintext_hash").alias("content_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("archive"), F.lit(0).alias("seq"), "object_id", F.col("shared_record").alias("record"), "plaintext_hash")
+    out = shared.publish(offers, sealed.select("object_id", F.col("sealed").alias("bytes")))
+    assert {tuple(r) for r in out.groupBy("archive", "outcome").count().collect()} == {(1, "published", 900), (2, "adopted", 900)}
+    folders = [p for p in (tmp_path / "pool" / "ns" / "objects").iterdir() if p.is_dir()]
+    assert len(folders) > 200 and all(len(list(p.glob("*.parquet"))) == 1 for p in folders)
+    more = offers.withColumn("content_id", F.concat("content_id", F.lit("x")))
+    none = sealed.limit(0).select("object_id", F.col("sealed").alias("bytes"))
+    assert {r.outcome for r in shared.publish(more, none).collect()} == {"published", "adopted"}  # the objects are there
+    with pytest.raises(ValueError, match="without bytes"):
+        shared.publish(more.select(F.concat("content_id", F.lit("y")).alias("content_id"), "archive", "seq", F.sha2("object_id", 256).alias("object_id"), "record", "plaintext_hash"), none)
+    a = stores.Store(spark, f"{tmp_path}/a")
+    whole = sealed.select("object_id", F.col("sealed").alias("bytes"))
+    a.upload(whole, whole.limit(10).select("object_id"))
+    a.upload(whole, whole.limit(20).select("object_id"))
+    assert a.read().count() == 20 and {r.status for r in a.check(whole).collect()} == {"ok", "missing"} and a.read().join(whole, ["object_id", "bytes"]).count() == 20
+
+
 def test_more_changes(spark, tables):
     left = metadata.delete_inodes(tables, spark.createDataFrame([(10,)], "id long"))
     assert 10 not in {r.id for r in left["inodes"].collect()} and [r.inode for r in left["file_chunks"].collect()] == [12] and left["dentries"].count() == 7

@@ -703,17 +703,18 @@ def index_sync_round_trip(spark, sf_dir):
 @query("SELECT inode, object_id content_id, CASE WHEN row_number() OVER (PARTITION BY object_id ORDER BY doc_id % 2, inode) = 1 THEN 'published' ELSE 'adopted' END outcome FROM f")
 def pool_publish(spark, sf_dir):
     """Two batches, of even and of odd documents, published to one pool of sealed objects."""
-    found = cut(_files(spark, sf_dir))
+    found = _files(spark, sf_dir)
+    names = cut(found.select("inode", F.col("object_id").alias("plaintext_hash")))
     base, key = f"{shared_dir(spark)}/pool-{uuid.uuid4().hex}", bytes(range(32))
     shared = stores.SharedPool(spark, base, "ns", key)
     out = []
     for rest in (0, 1):
-        batch = found.where(F.col("inode") % 2 == rest)
-        plain = batch.select(F.col("object_id").alias("plaintext_hash"), F.col("size").alias("plain_len"), F.col("content").cast("binary").alias("data")).dropDuplicates(["plaintext_hash"])
-        sealed = cut(pool.seal_shared(sealing.compress(plain), key, key))
-        offers = batch.select("inode", F.col("object_id").alias("plaintext_hash")).join(sealed, "plaintext_hash")
-        offers = offers.select(F.col("plaintext_hash").alias("content_id"), F.col("inode").alias("archive"), F.lit(0).alias("seq"), "object_id", F.col("sealed").alias("bytes"), F.col("shared_record").alias("record"), "plaintext_hash")
-        out.append(shared.publish(offers))
+        own = F.col("inode") % 2 == rest
+        plain = found.where(own).select(F.col("object_id").alias("plaintext_hash"), F.col("size").alias("plain_len"), F.col("content").cast("binary").alias("data")).dropDuplicates(["plaintext_hash"])
+        sealed = cut(pool.seal_shared(sealing.compress(plain), key, key), large=True)
+        offers = names.where(own).join(sealed.select("plaintext_hash", "object_id", "shared_record"), "plaintext_hash")
+        offers = offers.select(F.col("plaintext_hash").alias("content_id"), F.col("inode").alias("archive"), F.lit(0).alias("seq"), "object_id", F.col("shared_record").alias("record"), "plaintext_hash")
+        out.append(shared.publish(offers, sealed.select("object_id", F.col("sealed").alias("bytes"))))
     return out[0].union(out[1]).select(F.col("archive").alias("inode"), "content_id", "outcome")
 
 
