@@ -87,6 +87,18 @@ def test_merkle_proofs(spark):
     assert digests.merkle_root_local([]) == digests.EMPTY_ROOT
 
 
+def test_folds_over_block_edges_need_few_joins(spark):
+    sizes = (1, 2, 3, 1023, 1025, 2500)
+    lists = {n: [hashlib.sha256(b"%d %d" % (n, i)).hexdigest() for i in range(n)] for n in sizes}
+    leaves = spark.createDataFrame([(n, i, h) for n, xs in lists.items() for i, h in enumerate(xs)], "d long, at long, hash string")
+    folds = tree.Folds(leaves, "d", "at")
+    assert {r.dir: r.root for r in folds.roots().collect()} == {n: digests.merkle_root_local(xs) for n, xs in lists.items()}
+    wanted = [(n, i) for n in sizes for i in {0, n // 2, n - 1, min(n - 1, 1023), min(n - 1, 1024)}]
+    proofs = folds.proofs(spark.createDataFrame(wanted, "dir long, i long"))
+    assert {(r.dir, r.i): (r.siblings, r.levels) for r in proofs.collect()} == {(n, i): digests.merkle_proof_local(lists[n], i) for n, i in wanted}
+    assert proofs._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
+
+
 def test_keyed_digest_is_hmac(spark):
     got = spark.createDataFrame([("abc",)], "x string").select(digests.keyed(b"k" * 40, F.col("x"))).first()[0]
     assert got == digests.keyed_local(b"k" * 40, b"abc")

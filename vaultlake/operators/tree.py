@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digests import EMPTY_ROOT, leaf_hash, merkle_node
+from ..functions.digests import EMPTY_ROOT, leaf_hash
 from ..functions.scalars import matches, safe_name, snapshot_kind
+from ..shipping import small_batches
 from ..tables import cut, number
 
 MAX_DEPTH = 4096
@@ -116,54 +120,70 @@ def creates_cycle(walked: DataFrame, source: str, target_parent: str) -> bool:
     return not subtree(walked, source).where(F.col("path") == target_parent).isEmpty()
 
 
+#: Levels folded at once: a worker holds the 2 ** FOLD leaves below one node.
+FOLD = 10
+_NODES = "dir long, k int, i long, hash string, left long"
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (dir, left, b, steps, nodes) -> the nodes (dir, k, i, hash, left) of the next levels above block b of a level
+    of left nodes. Nodes pair upwards, an odd one with itself, and one alone stays as it is."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            hashes, width, at = [x["hash"] for x in sorted(r["nodes"], key=lambda x: x["i"])], r["left"], r["b"] << FOLD
+            for k in range(1, r["steps"] + 1):
+                if width > 1:
+                    pairs = zip(hashes[::2], [*hashes[1::2], *hashes[-1:]][: (len(hashes) + 1) // 2], strict=True)
+                    hashes = [None if x is None or y is None else hashlib.sha256(f"pair|{x}{y}".encode()).hexdigest() for x, y in pairs]
+                width, at = (width + 1) // 2, at >> 1
+                out += [(r["dir"], k, at + n, x, width) for n, x in enumerate(hashes)]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["dir", "k", "i", "hash", "left"])
+
+
 class Folds:
-    """Merkle folds of many ordered lists at once: levels[k] has (dir, i, hash), the nodes of each list's level k."""
+    """Merkle folds of many ordered lists at once: nodes (dir, k, i, hash, left) of each list's level k from the leaves, at
+    0, up to `top`; lists that are shorter end in copies of their root."""
 
     def __init__(self, leaves: DataFrame, key: str, *order: str) -> None:
         """leaves (key, order columns, hash, more): index is (leaves, dir, i), where i counts a list's leaves from 0 in
         order. Nodes pair upwards, an odd one with itself; a null hash makes all above it null."""
+        small_batches(leaves.sparkSession)
         self.index = number(leaves, key, *order, name="at__")
         first = self.index.groupBy(F.col(key).alias("dir")).agg(F.min("at__").alias("first"), F.count("*").alias("n"))
         first = cut(first)
         self.index = self.index.join(first, F.col(key) == F.col("dir")).withColumn("i", F.col("at__") - F.col("first")).drop("at__", "first")
         most = first.agg(F.max("n")).first()[0] or 0
-        level = self.index.select("dir", "i", "hash", F.col("n").alias("left"))
-        self.levels = [level]
-        while most > 1:
-            level = self._above(level)
-            self.levels.append(level)
-            most = (most + 1) // 2
-
-    @staticmethod
-    def _above(level: DataFrame) -> DataFrame:
-        pair = level.groupBy("dir", F.floor(F.col("i") / 2).alias("i"), "left").agg(
-            F.count("*").alias("k"), F.max(F.when(F.col("i") % 2 == 0, F.col("hash"))).alias("l"), F.max(F.when(F.col("i") % 2 == 1, F.col("hash"))).alias("r"))
-        above = F.when(F.col("left") == 1, F.col("l")).otherwise(merkle_node(F.col("l"), F.when(F.col("k") == 1, F.col("l")).otherwise(F.col("r"))))
-        return pair.select("dir", "i", above.alias("hash"), F.ceil(F.col("left") / 2).alias("left"))
+        level, parts = self.index.select("dir", F.lit(0).alias("k"), "i", "hash", F.col("n").alias("left")), []
+        self.top, height = 0, max(most - 1, 0).bit_length()
+        while True:
+            parts.append(level)
+            if self.top == height:
+                break
+            level, steps = level.where(F.col("k") == self.top), min(FOLD, height - self.top)
+            blocks = level.groupBy("dir", "left", F.floor(F.col("i") / (1 << FOLD)).alias("b")).agg(F.collect_list(F.struct("i", "hash")).alias("nodes"))
+            folded = blocks.select("dir", "left", "b", F.lit(steps).alias("steps"), "nodes").mapInArrow(_fold, _NODES)
+            level = cut(folded.withColumn("k", F.col("k") + self.top))
+            self.top += steps
+        self.nodes = reduce(DataFrame.union, parts)
 
     def roots(self) -> DataFrame:
         """(dir, root) of each list."""
-        return self.levels[-1].select("dir", F.col("hash").alias("root"))
+        return self.nodes.where(F.col("k") == self.top).select("dir", F.col("hash").alias("root"))
 
     def proofs(self, wanted: DataFrame) -> DataFrame:
-        """wanted (dir, i, more) with siblings array<string>, levels int, of each leaf asked for. Levels are written first:
-        each is joined here, and would else be folded anew from the leaves for every level above it."""
-        written = [cut(self.levels[0])]
-        while len(written) < len(self.levels):
-            written.append(cut(self._above(written[-1])))
-        self.levels = written
+        """wanted (dir, i, more) with siblings array<string>, levels int, of each leaf asked for. All siblings come by one
+        join of (leaf, level) with the nodes, and are put together once a leaf."""
         out = wanted.join(self.index.groupBy("dir").agg(F.count("*").alias("n")), "dir")
-        out = out.withColumn("levels", (F.ceil(F.log2("n") - 1e-12) + 1).cast("int"))
-        siblings = F.array().cast("array<string>")
-        columns = [*wanted.columns, "levels"]
-        out = out.select(*columns, "n", siblings.alias("siblings"))
-        for k, level in enumerate(self.levels[:-1]):
-            here = F.floor(F.col("i") / (1 << k))
-            width = F.ceil(F.col("n") / (1 << k))
-            other = F.when(here.bitwiseXOR(1) < width, here.bitwiseXOR(1)).otherwise(here)
-            node = level.select(F.col("dir").alias("d__"), F.col("i").alias("i__"), F.col("hash").alias("h__"))
-            out = out.join(node, (F.col("dir") == F.col("d__")) & (other == F.col("i__"))).withColumn("siblings", F.when(width > 1, F.array_append("siblings", F.col("h__"))).otherwise(F.col("siblings"))).drop("d__", "i__", "h__")
-        return out.drop("n")
+        out = cut(out.withColumn("levels", (F.ceil(F.log2("n") - 1e-12) + 1).cast("int")))
+        steps = out.where("levels > 1").select("dir", "i", "n", F.explode(F.sequence(F.lit(0), F.col("levels") - 2)).alias("k")).distinct()
+        here, width = F.expr("shiftright(i, k)"), F.expr("shiftright(n - 1, k) + 1")
+        other = F.when(here.bitwiseXOR(F.lit(1)) < width, here.bitwiseXOR(F.lit(1))).otherwise(here)
+        node = self.nodes.select("dir", "k", F.col("i").alias("other"), "hash")
+        met = steps.select("dir", "i", "k", other.alias("other")).join(node, ["dir", "k", "other"])
+        found = met.groupBy("dir", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "hash"))), lambda x: x["hash"]).alias("siblings"))
+        return out.drop("n").join(found, ["dir", "i"], "left").select(*wanted.columns, "levels", F.coalesce("siblings", F.array().cast("array<string>")).alias("siblings"))
 
 
 def node_hashes(inodes: DataFrame, dentries: DataFrame, root: int = 1) -> tuple[DataFrame, DataFrame]:
